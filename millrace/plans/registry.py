@@ -1,0 +1,6 @@
+"""Named queries of the core and their SQL counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
