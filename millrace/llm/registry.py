@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe
+from millrace.llm import bpe, quantiles
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (bpe,):
+for module in (bpe, quantiles):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})
