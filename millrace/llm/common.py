@@ -17,3 +17,28 @@ def write_once(df: DataFrame) -> DataFrame:
 def first_per_id(df: DataFrame, id_col: str) -> DataFrame:
     """One row per id; rows without an id take no part. A repeated id is the same row again."""
     return df.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of `edges` (a, b); a component is named by its smallest node.
+
+    Alternating large-star and small-star rounds: each is one aggregation and one join on
+    the edge list, the number of rounds grows with the logarithm of the longest chain, and
+    every round's edges are written to the checkpoint folder. Nothing comes to the driver
+    but two numbers a round.
+    """
+    edges = write_once(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    state = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = write_once(small)
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == now:
+            break
+        state = now
+    members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -209,15 +209,18 @@ def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per model and day, and per model over all days (period 'all', day null)."""
+    """Percentiles per model and day, and per model and week, month and all time, combined from the days' sketches.
+
+    `start` is the first day of the period (null for all time, and for calls without ts).
+    """
     ensure_checkpoint_dir(spark)
     daily = daily_sketches(spark, sf_dir).checkpoint()  # bounded sketches, read twice
-    by_day = read_percentiles(daily, ["model", "day"]).withColumn("period", F.lit("day"))
-    spread = daily.withColumn("part", F.abs(F.datediff("day", F.lit("1970-01-01"))) % F.lit(FAN_IN * FAN_IN))
-    spread = spread.fillna({"part": 0})
-    whole = read_percentiles(merge_sketches(spread, ["model"], FAN_IN * FAN_IN), ["model"])
-    whole = whole.withColumn("day", F.lit(None).cast("date")).withColumn("period", F.lit("all"))
-    return by_day.unionByName(whole).select("model", "period", "day", "metric", "n", *[f"p{p}" for p in PERCENTS])
+    by_day = read_percentiles(daily, ["model", "day"]).select("model", F.lit("day").alias("period"), F.col("day").alias("start"), "metric", "n", *[f"p{p}" for p in PERCENTS])
+    periods = F.array(*[F.struct(F.lit(name).alias("period"), start.alias("start")) for name, start in (("week", F.to_date(F.date_trunc("week", "day"))), ("month", F.to_date(F.date_trunc("month", "day"))), ("all", F.lit(None).cast("date")))])
+    spread = daily.withColumn("p", F.explode(periods)).select("model", "p.period", "p.start", "metric", "sketch", F.coalesce(F.pmod(F.datediff("day", F.lit("1970-01-01")), F.lit(FAN_IN * FAN_IN)), F.lit(0)).alias("part"))
+    keys = ["model", "period", "start"]
+    longer = read_percentiles(merge_sketches(spread, keys, FAN_IN * FAN_IN), keys)
+    return by_day.unionByName(longer)
 
 
 QUERIES = {"p3_percentiles": p3_percentiles}

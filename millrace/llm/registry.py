@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, format_copies, quantiles
+from millrace.llm import bpe, format_copies, near_copies, quantiles
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (bpe, quantiles, format_copies):
+for module in (bpe, quantiles, format_copies, near_copies):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})

@@ -49,17 +49,18 @@ def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     got = Q.p3_percentiles(spark, sf).collect()
     rows = spark.read.parquet(f"{sf}/call_usage.parquet").dropDuplicates(["call_id"]).withColumn("day", F.to_date("ts")).toPandas()
-    assert {r.period for r in got} == {"day", "all"}
-    days = 0
+    rows["week"] = rows.ts.dt.to_period("W-SUN").dt.start_time.dt.date
+    rows["month"] = rows.ts.dt.to_period("M").dt.start_time.dt.date
+    totals = dict.fromkeys(("day", "week", "month", "all"), 0)
     for r in got:
         part = rows[rows.model.isna()] if r.model is None else rows[rows.model == r.model]
-        if r.period == "day":
-            part, days = part[part.day == r.day], days + r.n
+        part = part if r.period == "all" else part[part[r.period] == r.start]
+        totals[r.period] += r.n
         values = part[r.metric].dropna().to_numpy()
         assert len(values) == r.n
         for p in Q.PERCENTS:
             assert rank_error(values, r[f"p{p}"], p / 100) <= 0.01
-    assert days == sum(r.n for r in got if r.period == "all") == rows.latency_ms.notna().sum() + rows.cost_usd.notna().sum()
+    assert set(totals.values()) == {rows.latency_ms.notna().sum() + rows.cost_usd.notna().sum()}
 
 
 def test_dirt(spark):
