@@ -27,12 +27,12 @@ from millrace.llm.common import write_once
 from millrace.session import load
 
 #: Vectors that place the centroids, at most, per table.
-SAMPLE = 65_536
+SAMPLE = 32_768
 #: Wanted vectors of a list, and sample vectors that a cell must have.
 LIST, CELL = 128, 8
 #: Replicas and probes of a vector, at most, and the distance ratios that prune them.
 REPLICAS, REPLICA_RATIO = 4, 1.15
-PROBES, PROBE_RATIO = 8, 1.35
+PROBES, PROBE_RATIO = 5, 1.35
 #: Neighbours of a centroid in the graph, beam width, nodes expanded at once.
 DEGREE, BEAM, EXPAND = 24, 24, 4
 
