@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, format_copies, near_copies, neighbours, quantiles
+from millrace.llm import bpe, endings, format_copies, near_copies, neighbours, quantiles
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (bpe, quantiles, format_copies, near_copies, neighbours):
+for module in (bpe, quantiles, format_copies, near_copies, neighbours, endings):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})
