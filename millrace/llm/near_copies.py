@@ -1,25 +1,23 @@
 """Near-duplicate texts by bottom-k sketches from one hash function (problem 6).
 
-Every text is the set of its distinct word shingles under one 64-bit hash. Inverted
-lists of retained hash values generate the pairs that overlap, the k smallest hashes of
-the union (read off the two sketches) estimate the similarity and drop clear misses, and
-the exact Jaccard of the full sets decides.
-
-Which values a text retains for the lists follows from the threshold t. Order all values
-by (how often the corpus holds their hash bucket, hash): two texts with similarity >= t
-share at least two of their first |A| - ceil(t |A|) + 2 values in that order, so no pair
-is lost, and boilerplate, which comes last, seldom makes a list. A value whose bucket
-holds more than HOT values is retained only in combination with another hot one; the
-bucket count bounds the length of every other list. Texts of more than LONG shingles
-retain from their LONG smallest hashes only, where the overlap of a similar pair is
-at least LONG_SHARED but for a chance below 1e-6.
+Every text is the set of its distinct word shingles under one 64-bit hash, kept sorted,
+so its first k values are its bottom-k sketch. Inverted lists of retained values give the
+candidate pairs, the k smallest hashes of the union (read off the two sketches) estimate
+the similarity and drop clear misses, and the exact Jaccard of the full sets decides.
+
+A list per single retained value would be as long as the most common phrase is frequent,
+and the overlaps would grow with the square of the corpus. So a list is keyed by several
+retained values at once: the sketch is ranked by `bands * rows` cheap remixes of the one
+hash, the smallest value under each remix is taken, and `rows` of them make a key. Two
+texts of similarity t share a key but for a chance of (1 - t**rows)**bands, 4e-4 at the
+threshold and less above it. All texts and all lists take part; a list longer than
+LIST_ROWS is paired by a join, which splits skewed keys.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +31,15 @@ from millrace.session import load
 
 WORD = re.compile(r"[^\W_]+")
 SKETCH = 64
-HOT = 64
-LONG = 1024
-#: Least list members of a pair that are expanded to all pairs of copies; beyond, representatives stand for copies.
+#: Smallest hashes that a text ranks for its list keys.
+RETAINED = 1024
+BANDS = 56
+#: Pairs of copies, at most, that a link or a group is expanded to; beyond, representatives stand for copies.
 EXPANDED = 64
-#: A combined list longer than this is paired by a join, which splits skewed lists, and not in one task.
+#: A list longer than this is paired by a join, which splits skewed keys, and not in one task.
 LIST_ROWS = 2000
+#: Candidate documents up to which their ids are broadcast to the second reading of the texts.
+BROADCAST_IDS = 500_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -72,82 +73,71 @@ class Shingler:
         return np.unique(acc)
 
 
-def long_shared(t: float) -> int:
-    """Least overlap of two LONG-value sketches at similarity t, six standard deviations below the mean."""
-    return int(LONG * t - 6 * math.sqrt(LONG * t * (1 - t)))
+class Keys:
+    """List keys of a set: `BANDS` hashes, each of the smallest values under `rows` remixes of the one hash."""
 
+    def __init__(self, t: float):
+        self.rows = max(1, round(math.log(0.13) / math.log(t))) if t < 1 else 16
+        rng = np.random.default_rng(11)
+        self.factor = rng.integers(0, 2**32, self.rows * BANDS, dtype=np.uint32) | np.uint32(1)
+        self.fold = rng.integers(0, 2**63, (BANDS, self.rows), dtype=np.uint64) | np.uint64(1)
+        self.band = rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 
-def retained(values: np.ndarray, counts: np.ndarray, shift: int, t: float, hot: int, salt: int) -> np.ndarray:
-    """Keys of the inverted lists that a text joins: cold values, and combinations of hot ones."""
-    k = min(len(values), LONG)
-    sketch = values[:k]
-    shared = min(math.ceil(t * k - 1e-9), long_shared(t))
-    often = counts[(sketch >> np.uint64(shift)).astype(np.int64)]
-    first = np.lexsort((sketch, often))[: k - shared + 2]
-    often, picked = often[first], sketch[first] ^ np.uint64(salt)
-    cold = picked[(often > 1) & (often <= hot)]
-    warm = np.sort(picked[often > hot])
-    if len(warm) > 1:
-        a, b = np.triu_indices(len(warm), 1)
-        return np.concatenate([cold, (warm[a] * M1) ^ (warm[b] * M2 + M3)])
-    return cold
+    def __call__(self, values: np.ndarray, salt: int) -> np.ndarray:
+        mixed = (values[:RETAINED] >> np.uint64(16)).astype(np.uint32)[:, None] * self.factor
+        mixed ^= mixed >> np.uint32(15)
+        least = mixed.min(axis=0).astype(np.uint64).reshape(BANDS, self.rows)
+        keys = (least * self.fold).sum(axis=1) ^ self.band ^ np.uint64(salt)
+        return (keys ^ (keys >> np.uint64(31))) * M3
 
+    @staticmethod
+    def pack(keys: np.ndarray) -> bytes:
+        """The lower 40 bits of each key; the band's number makes up the rest when they are read."""
+        return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
-def _step(counts: np.ndarray) -> np.ndarray:
-    """Counts as bytes: exact up to 128, then in half powers of two."""
-    high = 128 + np.round(2 * np.log2(np.maximum(counts, 1) / 128)).clip(0, 127)
-    return np.where(counts <= 128, counts, high).astype(np.uint8)
+    @staticmethod
+    def unpack(packed: bytes) -> np.ndarray:
+        low = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(low), 8), dtype=np.uint8)
+        wide[:, :5] = low
+        wide[:, 5] = np.arange(len(low)) % BANDS
+        return wide.reshape(-1).view(np.int64)
 
 
-def profile(texts: DataFrame, width: int, least_words: int, bits: int) -> DataFrame:
-    """(tbl, id, digest, counts): a row per text with the digest of its set, and per task one row of bucket counts."""
+def profile(texts: DataFrame, t: float, width: int, least_words: int) -> DataFrame:
+    """(tbl, id, digest, keys) of each text that takes part; keys (packed) only with the first text of a set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts = Shingler(width, least_words), np.zeros(1 << bits, dtype=np.uint32)
-        shift = np.uint64(64 - bits)
-        names = ["tbl", "id", "digest", "counts"]
+        shingle, keyed, seen = Shingler(width, least_words), Keys(t), set()
         for batch in batches:
             out = []
             for tbl, name, text in zip(*(c.to_pylist() for c in batch.columns)):
                 values = shingle(text)
-                if values is not None:
-                    np.add.at(counts, (values >> shift).astype(np.int64), 1)
-                    out.append((tbl, name, xxhash.xxh3_128_digest(values.tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary()), pa.nulls(len(out), pa.binary())], names=names)
-        if counts.any():
-            packed = zlib.compress(counts.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=names)
-
-    return texts.select("tbl", "id", "text").mapInArrow(run, "tbl string, id string, digest binary, counts binary")
-
-
-def bucket_counts(profiled: DataFrame, bits: int) -> np.ndarray:
-    """The sum of all tasks' bucket counts as bytes, 2**bits of them; summed in a tree of 32."""
-
-    def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << bits, dtype=np.uint64)
-        for packed in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.uint32)
-        packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([packed], pa.binary())})
-
-    rows = profiled.filter("counts is not null").select(F.monotonically_increasing_id().alias("at"), "counts")
-    tasks = rows.count()
-    rows = rows.select((F.pmod(F.xxhash64("at"), F.lit(max(1, -(-tasks // 16))))).alias("part"), "counts")
-    rows = rows.groupBy("part").applyInArrow(summed, "part bigint, counts binary")
-    parts = -(-tasks // 16)
-    while parts > 1:
-        parts = -(-parts // 16)
-        rows = rows.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("part").applyInArrow(summed, "part bigint, counts binary")
-    got = rows.collect()  # one row
-    total = np.frombuffer(zlib.decompress(got[0].counts), dtype=np.uint32) if got else np.zeros(1 << bits, dtype=np.uint32)
-    return _step(total.astype(np.float64))
-
-
-def choose_bits(texts: DataFrame) -> int:
-    """Buckets for about a third of the words, 2**12 to 2**24: the broadcast counts stay under 16 MB."""
-    letters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(24, max(12, math.ceil(math.log2(max(letters / 18, 2)))))
+                if values is None:
+                    continue
+                digest = xxhash.xxh3_128_digest(tbl.encode() + b"\x00" + values.tobytes())
+                keys = None
+                if digest not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(digest)
+                    keys = Keys.pack(keyed(values, xxhash.xxh3_64_intdigest(tbl)))
+                out.append((tbl, name, digest, keys))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k < 2 else pa.binary()) for k in range(4)], names=["tbl", "id", "digest", "keys"])
+
+    return texts.select("tbl", "id", "text").mapInArrow(run, "tbl string, id string, digest binary, keys binary")
+
+
+def listed(profiled: DataFrame) -> DataFrame:
+    """(key, doc): one row per list that a set joins; doc is the first 8 bytes of its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = np.frombuffer(b"".join(d[:8] for d in batch.column(0).to_pylist()), dtype=np.int64)
+            keys = Keys.unpack(b"".join(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(docs, BANDS))], names=["key", "doc"])
+
+    return profiled.filter("keys is not null").select("digest", "keys").mapInArrow(run, "key bigint, doc bigint")
 
 
 def similar_pairs(texts: DataFrame, t: float, width: int = 5, least_words: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -159,65 +149,53 @@ def similar_pairs(texts: DataFrame, t: float, width: int = 5, least_words: int =
     fewer than `least_words` words take no part; a repeated id counts once. Ids must be
     strings without nulls.
     """
-    bits = choose_bits(texts)
-    profiled = write_once(profile(texts, width, least_words, bits))
-    members = profiled.filter("counts is null").select("tbl", "id", "digest").distinct()
-    groups = write_once(members.groupBy("tbl", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    profiled = write_once(profile(texts, t, width, least_words))
+    members = profiled.select("tbl", "id", "digest").distinct()
+    groups = members.groupBy("tbl", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    groups = write_once(groups.withColumn("doc", _doc(F.col("digest"))))
     members = members.join(groups, ["tbl", "digest"]).select("tbl", "id", "rep", "copies")
-    counts = bucket_counts(profiled, bits)
-    mean = float(counts[counts > 0].mean()) if counts.any() else 0.0
-    hot = int(min(250, max(HOT, 3 * mean)))
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    pairs = write_once(list_pairs(listed(profiled)))
+    return members, _verified(texts, groups, pairs, t, width, least_words)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width, least_words)
-        for batch in batches:
-            keys, docs, sizes = [], [], []
-            for tbl, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                values = shingle(text)
-                if values is None:
-                    continue
-                got = retained(values, shared.value, 64 - bits, t, hot, xxhash.xxh3_64_intdigest(tbl))
-                keys.append(got)
-                docs.append(np.full(len(got), doc, dtype=np.int64))
-                sizes.append(np.full(len(got), len(values), dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], names=["key", "doc", "n"])
-
-    reps = texts.join(groups.select("tbl", F.col("rep").alias("id")), ["tbl", "id"], "left_semi")
-    lists = reps.select("tbl", F.xxhash64("tbl", "id").alias("doc"), "text").mapInArrow(listed, "key bigint, doc bigint, n int")
-    pairs = write_once(_list_pairs(lists, t))
-    links = _verified(texts, pairs, t, width, least_words)
-    return members, links
-
-
-def _list_pairs(lists: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b) of documents on a common list whose sizes allow similarity t."""
+
+def _doc(digest):
+    """The first 8 bytes of a digest as a little-endian integer."""
+    swapped = F.concat(*[F.hex(F.substring(digest, k, 1)) for k in range(8, 0, -1)])
+    return F.conv(swapped, 16, -10).cast("bigint")
+
+
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of documents on a common list."""
     lists = lists.repartition("key")
     sized = lists.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("key", "rows")
-    kept = lists.join(sized, "key")
-    short = kept.filter(F.col("rows") <= LIST_ROWS).groupBy("key").agg(F.collect_list(F.struct("doc", "n")).alias("docs"))
-    near = (F.col("x.n") >= t * F.col("y.n")) & (F.col("y.n") >= t * F.col("x.n")) & (F.col("x.doc") < F.col("y.doc"))
-    pairs = short.select("docs", F.explode("docs").alias("x")).select("x", F.explode("docs").alias("y")).filter(near)
-    long = kept.filter(F.col("rows") > LIST_ROWS).select("key", F.struct("doc", "n").alias("x"))
-    joined = long.join(long.select("key", F.col("x").alias("y")), "key").filter(near).select("x", "y")
-    return pairs.union(joined).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    kept = write_once(lists.join(sized, "key"))
+    short = kept.filter(F.col("rows") <= LIST_ROWS).groupBy("key").agg(F.collect_set("doc").alias("docs"))
+    pairs = short.select("docs", F.explode("docs").alias("a")).select("a", F.explode("docs").alias("b")).filter("a < b")
+    long = kept.filter(F.col("rows") > LIST_ROWS).select("key", F.col("doc").alias("a")).distinct()
+    joined = long.join(long.select("key", F.col("a").alias("b")), "key").filter("a < b").select("a", "b")
+    return pairs.union(joined).distinct()
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, t: float, width: int, least_words: int) -> DataFrame:
-    """(tbl, a, b, similarity) of the pairs that the union sketch lets through and the exact Jaccard confirms."""
+def _verified(texts: DataFrame, groups: DataFrame, pairs: DataFrame, t: float, width: int, least_words: int) -> DataFrame:
+    """(tbl, a, b, similarity) of the pairs that the union sketch lets through and the exact Jaccard confirms.
+
+    Sets travel as the upper 32 bits of their hashes: two of some hundred shingles of a
+    pair then agree by chance once in about 10**5 pairs.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width, least_words)
         for batch in batches:
-            sets = [shingle(text) for text in batch.column(3).to_pylist()]
-            packed = pa.array([None if s is None else s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["tbl", "id", "doc", "values"])
-
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    wanted = texts.withColumn("doc", F.xxhash64("tbl", "id")).join(ids, "doc", "left_semi").select("tbl", "id", "doc", "text")
-    sets = wanted.mapInArrow(hashed, "tbl string, id string, doc bigint, values binary").filter("values is not null").dropDuplicates(["doc", "tbl", "id"])
-    sets = write_once(sets)
+            sets = [shingle(text) for text in batch.column(2).to_pylist()]
+            packed = pa.array([None if s is None else (s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], names=["id", "doc", "values"])
+
+    docs = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    wanted = write_once(groups.join(docs, "doc").select("tbl", F.col("rep").alias("id"), "doc"))
+    few = wanted.count() <= BROADCAST_IDS
+    chosen = texts.join(F.broadcast(wanted) if few else wanted, ["tbl", "id"]).select("id", "doc", "text")
+    sets = write_once(chosen.mapInArrow(hashed, "id string, doc bigint, values binary").filter("values is not null"))
+    sets = sets.dropDuplicates(["id", "doc"]).join(wanted.select("id", "doc", "tbl"), ["id", "doc"])
     left = sets.select(F.col("doc").alias("a"), F.col("tbl").alias("tbl_a"), F.col("id").alias("id_a"), F.col("values").alias("set_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("tbl").alias("tbl_b"), F.col("id").alias("id_b"), F.col("values").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b").filter("tbl_a = tbl_b")
@@ -227,7 +205,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, t: float, width: int, least_wo
         for batch in batches:
             out = []
             for tbl, x, y, p, q in zip(*(c.to_pylist() for c in batch.columns)):
-                p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+                p, q = np.frombuffer(p, dtype=np.uint32), np.frombuffer(q, dtype=np.uint32)
                 if estimate(p, q) < low:
                     continue
                 common = len(np.intersect1d(p, q, assume_unique=True))
