@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, endings, format_copies, near_copies, neighbours, quantiles
+from millrace.llm import bpe, endings, format_copies, near_copies, neighbours, pairs, quantiles
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (bpe, quantiles, format_copies, near_copies, neighbours, endings):
+for module in (pairs, endings, quantiles, neighbours, format_copies, near_copies, bpe):
     QUERIES |= module.QUERIES
     ORACLES |= getattr(module, "ORACLES", {})
