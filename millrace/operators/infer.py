@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Infer = Callable[[list[str]], list[str]]
 
@@ -54,7 +55,7 @@ def with_answers(df: DataFrame, prompt: str, out: str = "ai_response", infer: In
 
 def answered_rows(df: DataFrame, prompt: Callable[[pd.DataFrame], pd.Series], out: str = "ai_response", infer: Infer = echo_stub, batch: int = 10, retries: int = 3, delay: float = 0.5) -> DataFrame:
     """Appends the answer to each row, with prompts made from whole rows, in true batches."""
-    fields = df.schema.add(out, "string")
+    fields = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

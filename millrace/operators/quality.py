@@ -98,6 +98,21 @@ def score(long: DataFrame) -> DataFrame:
     return wide.agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)).alias("score"), F.count(F.lit(1)).alias("columns"), (nulls + low).alias("anomalies"))
 
 
+def score_table(df: DataFrame) -> DataFrame:
+    """The score of a table in one aggregation: null rates of all columns, distinct counts of the id-like ones only."""
+    from millrace.operators.profile import _hashable
+
+    total = F.count(F.lit(1))
+    rates = [F.coalesce(F.try_divide(F.count_if(is_absent(df, n)), total), F.lit(0.0)) for n in df.columns]
+    keyed = [n for n in df.columns if "id" in n.lower()]
+    unique = [F.coalesce(F.try_divide(F.count_distinct(_hashable(df, n)), total), F.lit(0.0)) for n in keyed]
+    wide = df.agg(F.array(*rates).alias("rates"), F.array(*unique).cast("array<double>").alias("unique"))
+    nulls, low = F.size(F.filter("rates", lambda r: r > 0.5)), F.size(F.filter("unique", lambda u: u < 0.9))
+    mean = F.aggregate("rates", F.lit(0.0), lambda s, r: s + r) / max(1, len(df.columns))
+    value = 100 - 10 * nulls - 15 * low - 20 * mean
+    return wide.select(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)).alias("score"), F.lit(len(df.columns)).alias("columns"), (nulls + low).alias("anomalies"))
+
+
 def violations(df: DataFrame, expectations: list[Expectation]) -> DataFrame:
     """(name, kind, severity, violations) of row expectations, in one pass over the table."""
     wide = df.agg(*[F.count_if(~e.holds()).alias(f"v{k}") for k, e in enumerate(expectations)])

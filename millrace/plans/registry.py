@@ -91,7 +91,7 @@ def dq_anomalies_events(spark, sf):
 def dq_score_all(spark, sf):
     out = None
     for table in O.TABLES:
-        one = quality.score(quality.quality_profile(load(spark, sf, table))).select(F.lit(table).alias("table_name"), F.round("score", 4).alias("score"), F.col("columns").cast("bigint"), F.col("anomalies").cast("bigint"))
+        one = quality.score_table(load(spark, sf, table)).select(F.lit(table).alias("table_name"), F.round("score", 4).alias("score"), F.col("columns").cast("bigint"), F.col("anomalies").cast("bigint"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -360,19 +360,19 @@ def _priced(spark, sf):
     return usage.with_cost(_calls(spark, sf), load(spark, sf, "model_pricing"))
 
 
-@query(f"WITH {_PRICED} SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS cost, round(sum(ms), 2) AS latency_ms, round(sum(ms) / count(*), 4) AS avg_latency_ms FROM p GROUP BY model")
+@query(f"WITH {_PRICED} SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 9) AS cost, round(sum(ms), 6) AS latency_ms, round(sum(ms) / count(*), 7) AS avg_latency_ms FROM p GROUP BY model")
 def cost_by_model(spark, sf):
-    return rounded(rounded(rounded(usage.totals(_priced(spark, sf), ["model"]), 6, "cost"), 2, "latency_ms"), 4, "avg_latency_ms")
+    return rounded(rounded(rounded(usage.totals(_priced(spark, sf), ["model"]), 9, "cost"), 6, "latency_ms"), 7, "avg_latency_ms")
 
 
-@query(f"WITH {_PRICED} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS cost, round(sum(ms), 2) AS latency_ms, round(sum(ms) / count(*), 4) AS avg_latency_ms FROM p")
+@query(f"WITH {_PRICED} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 9) AS cost, round(sum(ms), 6) AS latency_ms, round(sum(ms) / count(*), 7) AS avg_latency_ms FROM p")
 def usage_summary(spark, sf):
-    return rounded(rounded(rounded(usage.totals(_priced(spark, sf)), 6, "cost"), 2, "latency_ms"), 4, "avg_latency_ms")
+    return rounded(rounded(rounded(usage.totals(_priced(spark, sf)), 9, "cost"), 6, "latency_ms"), 7, "avg_latency_ms")
 
 
-@query(f"WITH {_PRICED} SELECT provider, grouping(provider) = 1 AS is_total, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS cost FROM p GROUP BY ROLLUP (provider)")
+@query(f"WITH {_PRICED} SELECT provider, grouping(provider) = 1 AS is_total, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 9) AS cost FROM p GROUP BY ROLLUP (provider)")
 def usage_by_provider(spark, sf):
-    return rounded(usage.by_provider(_priced(spark, sf)), 6, "cost")
+    return rounded(usage.by_provider(_priced(spark, sf)), 9, "cost")
 
 
 @query(f"WITH {_PRICED} SELECT call_id, user_id, row_number() OVER w AS step, CAST(sum(input_tokens + output_tokens) OVER w AS BIGINT) AS tokens_so_far, round(sum(cost) OVER w, 8) AS cost_so_far FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING)")

@@ -47,11 +47,20 @@ def deduplicated(stream: DataFrame, key: list[str], ts: str, delay: str = DELAY)
     return as_instant(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def limits(stream: DataFrame, user: str, ts: str, order: str, allowed: Limits = Limits()) -> DataFrame:
+def _timed(stream: DataFrame, names: list[str], ts: str, delay: str) -> DataFrame:
+    rows = as_instant(stream.filter(F.col(ts).isNotNull()), ts).withWatermark(ts, delay)
+    return rows.select(*names, ts, micros(F.col(ts)).alias("__at"))
+
+
+def _expire(state, at_ms: int) -> None:
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def limits(stream: DataFrame, user: str, ts: str, order: str, allowed: Limits = Limits(), delay: str = DELAY) -> DataFrame:
     """(user, order, admitted, stopped_by) per event of a stream, by the same rule as the batch.
 
-    State per user: the admitted times of the last day, dropped after a day without events.
-    Within a micro-batch events are taken in time order; an event older than one already
+    State per user: the admitted times of the last day, dropped once the watermark is a day
+    past the user's last event. Within a micro-batch events are taken in time order; an event older than one already
     decided is judged with what is known then.
     """
     fields = f"`{user}` {stream.schema[user].dataType.simpleString()}, `{order}` {stream.schema[order].dataType.simpleString()}, admitted boolean, stopped_by string"
@@ -64,14 +73,13 @@ def limits(stream: DataFrame, user: str, ts: str, order: str, allowed: Limits =
         events = pd.concat(list(frames)).sort_values(["__at", order])
         stopped = [window.admit(int(at), allowed) for at in events["__at"]]
         state.update((list(window.times),))
-        state.setTimeoutDuration(86_400_000)
+        _expire(state, int(events["__at"].max()) // 1000 + 86_400_000)
         yield pd.DataFrame({user: key[0], order: events[order].to_numpy(), "admitted": [s is None for s in stopped], "stopped_by": stopped})
 
-    timed = stream.filter(F.col(ts).isNotNull()).select(user, order, micros(F.col(ts)).alias("__at"))
-    return timed.groupBy(user).applyInPandasWithState(judge, fields, "times array<bigint>", "append", "ProcessingTimeTimeout")
+    return _timed(stream, [user, order], ts, delay).groupBy(user).applyInPandasWithState(judge, fields, "times array<bigint>", "append", "EventTimeTimeout")
 
 
-def cached(stream: DataFrame, key: str, ts: str, order: str, ttl_seconds: float) -> DataFrame:
+def cached(stream: DataFrame, key: str, ts: str, order: str, ttl_seconds: float, delay: str = DELAY) -> DataFrame:
     """(key, order, hit): a keyed cache with a time to live; a hit does not prolong it."""
     ttl = int(ttl_seconds * 1_000_000)
     fields = f"`{key}` {stream.schema[key].dataType.simpleString()}, `{order}` {stream.schema[order].dataType.simpleString()}, hit boolean"
@@ -88,11 +96,10 @@ def cached(stream: DataFrame, key: str, ts: str, order: str, ttl_seconds: float)
             hits.append(hit)
         state.update((since,))
         if ttl > 0:
-            state.setTimeoutDuration(max(1, ttl // 1000))
+            _expire(state, (since + ttl) // 1000 + 1)
         yield pd.DataFrame({key: who[0], order: events[order].to_numpy(), "hit": hits})
 
-    timed = stream.filter(F.col(ts).isNotNull()).select(key, order, micros(F.col(ts)).alias("__at"))
-    return timed.groupBy(key).applyInPandasWithState(serve, fields, "since bigint", "append", "ProcessingTimeTimeout")
+    return _timed(stream, [key, order], ts, delay).groupBy(key).applyInPandasWithState(serve, fields, "since bigint", "append", "EventTimeTimeout")
 
 
 def upsert_each(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
