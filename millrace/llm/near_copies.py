@@ -9,8 +9,8 @@ A list per single retained value would be as long as the most common phrase is f
 and the overlaps would grow with the square of the corpus. So a list is keyed by several
 retained values at once: the sketch is ranked by `bands * rows` cheap remixes of the one
 hash, the smallest value under each remix is taken, and `rows` of them make a key. Two
-texts of similarity t share a key but for a chance of (1 - t**rows)**bands, 4e-4 at the
-threshold and less above it. All texts and all lists take part; a list longer than
+texts of similarity t share a key but for a chance of (1 - t**rows)**bands, below 1e-3 at
+the threshold and far less above it; `rows` grows with the logarithm of the corpus. All texts and all lists take part; a list longer than
 LIST_ROWS is paired by a join, which splits skewed keys.
 """
 
@@ -33,7 +33,8 @@ WORD = re.compile(r"[^\W_]+")
 SKETCH = 64
 #: Smallest hashes that a text ranks for its list keys.
 RETAINED = 1024
-BANDS = 56
+#: Meetings that two texts at the threshold have on average; exp(-SURE) is the chance of none.
+SURE = 7.2
 #: Pairs of copies, at most, that a link or a group is expanded to; beyond, representatives stand for copies.
 EXPANDED = 64
 #: A list longer than this is paired by a join, which splits skewed keys, and not in one task.
@@ -73,20 +74,28 @@ class Shingler:
         return np.unique(acc)
 
 
+def key_shape(t: float, texts: int) -> tuple[int, int]:
+    """(rows, bands) of the list keys. A row more per sixteenfold of the corpus keeps chance meetings per text constant;
+    the bands keep the chance of a miss at the threshold at exp(-SURE)."""
+    rows = max(1, round(math.log(0.13) / math.log(t))) if t < 1 else 8
+    rows += max(0, math.ceil(math.log(max(texts, 1) / 200_000, 16)))
+    return rows, math.ceil(SURE / t**rows)
+
+
 class Keys:
-    """List keys of a set: `BANDS` hashes, each of the smallest values under `rows` remixes of the one hash."""
+    """List keys of a set: `bands` hashes, each of the smallest values under `rows` remixes of the one hash."""
 
-    def __init__(self, t: float):
-        self.rows = max(1, round(math.log(0.13) / math.log(t))) if t < 1 else 16
+    def __init__(self, rows: int, bands: int):
+        self.rows, self.bands = rows, bands
         rng = np.random.default_rng(11)
-        self.factor = rng.integers(0, 2**32, self.rows * BANDS, dtype=np.uint32) | np.uint32(1)
-        self.fold = rng.integers(0, 2**63, (BANDS, self.rows), dtype=np.uint64) | np.uint64(1)
-        self.band = rng.integers(0, 2**63, BANDS, dtype=np.uint64)
+        self.factor = rng.integers(0, 2**32, rows * bands, dtype=np.uint32) | np.uint32(1)
+        self.fold = rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) | np.uint64(1)
+        self.band = rng.integers(0, 2**63, bands, dtype=np.uint64)
 
     def __call__(self, values: np.ndarray, salt: int) -> np.ndarray:
         mixed = (values[:RETAINED] >> np.uint64(16)).astype(np.uint32)[:, None] * self.factor
         mixed ^= mixed >> np.uint32(15)
-        least = mixed.min(axis=0).astype(np.uint64).reshape(BANDS, self.rows)
+        least = mixed.min(axis=0).astype(np.uint64).reshape(self.bands, self.rows)
         keys = (least * self.fold).sum(axis=1) ^ self.band ^ np.uint64(salt)
         return (keys ^ (keys >> np.uint64(31))) * M3
 
@@ -96,19 +105,19 @@ class Keys:
         return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
     @staticmethod
-    def unpack(packed: bytes) -> np.ndarray:
+    def unpack(packed: bytes, bands: int) -> np.ndarray:
         low = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 5)
         wide = np.zeros((len(low), 8), dtype=np.uint8)
         wide[:, :5] = low
-        wide[:, 5] = np.arange(len(low)) % BANDS
+        wide[:, 5:7] = (np.arange(len(low)) % bands).astype(np.uint16)[:, None].view(np.uint8)
         return wide.reshape(-1).view(np.int64)
 
 
-def profile(texts: DataFrame, t: float, width: int, least_words: int) -> DataFrame:
+def profile(texts: DataFrame, shape: tuple[int, int], width: int, least_words: int) -> DataFrame:
     """(tbl, id, digest, keys) of each text that takes part; keys (packed) only with the first text of a set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, keyed, seen = Shingler(width, least_words), Keys(t), set()
+        shingle, keyed, seen = Shingler(width, least_words), Keys(*shape), set()
         for batch in batches:
             out = []
             for tbl, name, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -128,14 +137,14 @@ def profile(texts: DataFrame, t: float, width: int, least_words: int) -> DataFra
     return texts.select("tbl", "id", "text").mapInArrow(run, "tbl string, id string, digest binary, keys binary")
 
 
-def listed(profiled: DataFrame) -> DataFrame:
+def listed(profiled: DataFrame, bands: int) -> DataFrame:
     """(key, doc): one row per list that a set joins; doc is the first 8 bytes of its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = np.frombuffer(b"".join(d[:8] for d in batch.column(0).to_pylist()), dtype=np.int64)
-            keys = Keys.unpack(b"".join(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(docs, BANDS))], names=["key", "doc"])
+            keys = Keys.unpack(b"".join(batch.column(1).to_pylist()), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(docs, bands))], names=["key", "doc"])
 
     return profiled.filter("keys is not null").select("digest", "keys").mapInArrow(run, "key bigint, doc bigint")
 
@@ -149,12 +158,13 @@ def similar_pairs(texts: DataFrame, t: float, width: int = 5, least_words: int =
     fewer than `least_words` words take no part; a repeated id counts once. Ids must be
     strings without nulls.
     """
-    profiled = write_once(profile(texts, t, width, least_words))
+    shape = key_shape(t, texts.count())
+    profiled = write_once(profile(texts, shape, width, least_words))
     members = profiled.select("tbl", "id", "digest").distinct()
     groups = members.groupBy("tbl", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = write_once(groups.withColumn("doc", _doc(F.col("digest"))))
     members = members.join(groups, ["tbl", "digest"]).select("tbl", "id", "rep", "copies")
-    pairs = write_once(list_pairs(listed(profiled)))
+    pairs = write_once(list_pairs(listed(profiled, shape[1])))
     return members, _verified(texts, groups, pairs, t, width, least_words)
 
 

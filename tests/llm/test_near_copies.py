@@ -71,7 +71,7 @@ def test_against_brute_force(spark, t, width, least):
 def test_keys_meet_their_chance():
     """Sets of similarity 0.6 share a list but once in thousands; of 0.1 hardly ever."""
     rng = np.random.default_rng(1)
-    keyed, missed, met = N.Keys(0.6), 0, 0
+    keyed, missed, met = N.Keys(*N.key_shape(0.6, 1000)), 0, 0
     for _ in range(400):
         pool = rng.integers(0, 2**63, 200, dtype=np.uint64)
         a, b, c = np.unique(pool[:120]), np.unique(pool[30:150]), np.unique(pool[100:200])
@@ -80,6 +80,13 @@ def test_keys_meet_their_chance():
     assert missed <= 2 and met <= 40
 
 
+def test_key_shape_and_packing():
+    assert N.key_shape(0.6, 1000) == (4, 56) and N.key_shape(0.6, 10**6)[0] == 5 and N.key_shape(0.6, 10**9)[0] == 8
+    keys = N.Keys(5, 300)(np.arange(1, 50, dtype=np.uint64) * N.M1, 3)
+    back = N.Keys.unpack(N.Keys.pack(keys) * 2, 300)
+    assert (back[:300] == back[300:]).all() and len(set(back.tolist())) == 300
+
+
 def test_long_lists_are_joined(spark):
     lists = spark.createDataFrame([(7, k) for k in range(50)] + [(8, 1), (8, 2), (9, 3)], "key long, doc long")
     old, N.LIST_ROWS = N.LIST_ROWS, 20
