@@ -36,7 +36,7 @@ RETAINED = 1024
 #: Meetings that two texts at the threshold have on average; exp(-SURE) is the chance of none.
 SURE = 7.2
 #: Pairs of copies, at most, that a link or a group is expanded to; beyond, representatives stand for copies.
-EXPANDED = 64
+EXPANDED = 1000
 #: A list longer than this is paired by a join, which splits skewed keys, and not in one task.
 LIST_ROWS = 2000
 #: Candidate documents up to which their ids are broadcast to the second reading of the texts.
