@@ -120,6 +120,40 @@ def violations(df: DataFrame, expectations: list[Expectation]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def table_violations(df: DataFrame, expectations: list[Expectation], parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(name, kind, severity, violations) of unique (rows that repeat an earlier value) and referential (orphan rows) expectations."""
+    out = None
+    for e in expectations:
+        c = F.col(f"`{e.column}`")
+        if e.kind == "unique":
+            one = df.filter(c.isNotNull()).agg((F.count(F.lit(1)) - F.count_distinct(c)).alias("violations"))
+        elif e.kind == "referential":
+            one = orphans(df, e.column, (parents or {})[e.parameters["table"]], e.parameters["key"]).agg(F.count(F.lit(1)).alias("violations"))
+        else:
+            raise ValueError(f"{e.kind} is no table expectation")
+        one = one.select(F.lit(e.name).alias("name"), F.lit(e.kind).alias("kind"), F.lit(e.severity).alias("severity"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def parse_expectations(reply: str, columns: list[str], most: int = 10) -> list[Expectation]:
+    """Expectations of a model's reply that holds a JSON array of {column, type, ...}; unknown columns and kinds and any bad JSON give none."""
+    import json
+    import re
+
+    found = re.search(r"\[.*\]", reply, re.DOTALL)
+    try:
+        items = json.loads(found.group(0)) if found else []
+    except ValueError:
+        return []
+    made = []
+    for x in items[:most] if isinstance(items, list) else []:
+        kind = str(x.get("type", "")).lower() if isinstance(x, dict) else ""
+        if kind in ("not_null", "in_range", "in_set", "regex", "unique") and x.get("column") in columns:
+            made.append(Expectation(x.get("name") or f"{x['column']}_{kind}", x["column"], kind, str(x.get("severity", "medium")).lower(), x.get("parameters") or {}))
+    return made
+
+
 def enforce(df: DataFrame, expectations: list[Expectation]) -> DataFrame:
     """Rows that meet all row expectations (the drop action)."""
     return df.filter(reduce(lambda a, b: a & b, [e.holds() for e in expectations], F.lit(True)))
