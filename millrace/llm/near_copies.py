@@ -284,3 +284,13 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
+
+#: The same pairs by joining all shingles.
+ORACLES = {
+    "p6_found": """WITH t AS (SELECT DISTINCT 'd' AS k, id, content AS x FROM rag_documents UNION SELECT DISTINCT 'c', entry_id, response FROM cache_entries),
+      w AS (SELECT k, id, regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+') AS w FROM t WHERE x IS NOT NULL),
+      s AS (SELECT DISTINCT k, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 30),
+      n AS (SELECT k, id, count(*) AS n FROM s GROUP BY 1, 2),
+      p AS (SELECT a.k, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
+      SELECT id_a, id_b FROM p JOIN n x ON p.k = x.k AND p.id_a = x.id JOIN n y ON p.k = y.k AND p.id_b = y.id WHERE c >= 0.6 * (x.n + y.n - c)"""
+}

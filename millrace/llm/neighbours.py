@@ -295,3 +295,13 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+
+#: The same pairs by comparing every vector with every other.
+_EXACT = """SELECT least(id, other) AS id_a, greatest(id, other) AS id_b FROM (
+  SELECT q.id, i.id AS other, list_cosine_similarity(q.v, i.v) AS c, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, i.v) DESC, i.id) AS place
+  FROM {t} q JOIN {t} i ON q.id <> i.id) WHERE place <= 5 AND c >= 0.8"""
+_USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+ORACLES = {
+    "p4_found": f"WITH a AS (SELECT DISTINCT ON (id) id, embedding AS v FROM chunks WHERE {_USABLE}), b AS (SELECT DISTINCT ON (entry_id) entry_id AS id, embedding AS v FROM cache_entries WHERE {_USABLE}) "
+    f"SELECT DISTINCT * FROM ({_EXACT.format(t='a')}) UNION SELECT DISTINCT * FROM ({_EXACT.format(t='b')})"
+}
