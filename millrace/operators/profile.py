@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 PROFILER_NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 QUALITY_NUMERIC = (T.LongType, T.DoubleType)
-#: Exact distinct counts that share one aggregation; each multiplies its rows (Expand), so wide tables go in groups.
+#: Exact distinct counts that share one scan; a row goes out once per count, with that column only (Expand).
 DISTINCTS_AT_ONCE = 6
 
 
@@ -44,9 +44,9 @@ def profile(df: DataFrame, columns: str | list[str] = "all", numeric: tuple = PR
     """null_count, null_rate, unique_count, unique_rate and total_count of every column;
     min, max, mean, median and std of numeric ones; min, max and mean length of strings.
 
-    All metrics of all columns come from one aggregation, which is then unpivoted. Exact
-    distinct counts run in groups of DISTINCTS_AT_ONCE and are joined by a constant number
-    of one-row results; `approximate` takes HyperLogLog counts in the same single pass.
+    All metrics of all columns but medians come from one aggregation, which is then unpivoted.
+    Exact distinct counts run DISTINCTS_AT_ONCE to a scan. For very large tables `approximate` takes HyperLogLog counts and a quantile sketch for the median, whose
+    exact form holds all distinct values, within the same single pass.
     An empty table gives counts of 0, rates of 0 and null statistics. NaN counts as null.
     """
     names = chosen(df, columns)
@@ -60,21 +60,27 @@ def profile(df: DataFrame, columns: str | list[str] = "all", numeric: tuple = PR
         metrics[name, "total_count"] = total
         if isinstance(kind, numeric):
             number = value.cast("double")
-            metrics |= {(name, "min"): F.min(number), (name, "max"): F.max(number), (name, "mean"): F.avg(number), (name, "median"): F.percentile(number, F.lit(0.5)), (name, "std"): F.stddev_samp(number)}
+            metrics |= {(name, "min"): F.min(number), (name, "max"): F.max(number), (name, "mean"): F.avg(number), (name, "median"): F.percentile_approx(number, 0.5, 10_000) if approximate else F.percentile(number, F.lit(0.5)), (name, "std"): F.stddev_samp(number)}
         elif isinstance(kind, T.StringType):
             length = F.length(value)
             metrics |= {(name, "min_length"): F.min(length), (name, "max_length"): F.max(length), (name, "avg_length"): F.avg(length)}
         if approximate:
             metrics[name, "unique_count"] = F.approx_count_distinct(_hashable(df, name), 0.02)
             metrics[name, "unique_rate"] = rate(F.approx_count_distinct(_hashable(df, name), 0.02))
-    parts = [_unpivoted(df.agg(*[c.cast("double").alias(f"m{k}") for k, c in enumerate(metrics.values())]), list(metrics))]
+    # Medians are object aggregates: beside them all others would leave generated code.
+    medians = [k for k in metrics if k[1] == "median"]
+    parts = []
+    for keys in ([k for k in metrics if k[1] != "median"], medians):
+        if keys:
+            parts.append(_unpivoted(df.agg(*[metrics[key].cast("double").alias(f"m{k}") for k, key in enumerate(keys)]), keys))
     if not approximate:
         for at in range(0, len(names), DISTINCTS_AT_ONCE):
             group = names[at : at + DISTINCTS_AT_ONCE]
-            keys = [(n, m) for n in group for m in ("unique_count", "unique_rate")]
-            exprs = [f(F.count_distinct(_hashable(df, n))) for n in group for f in (lambda c: c, rate)]
-            parts.append(_unpivoted(df.agg(*[c.cast("double").alias(f"m{k}") for k, c in enumerate(exprs)]), keys))
-    out = parts[0]
+            found = df.agg(*[F.count_distinct(_hashable(df, n)).alias(f"n{k}") for k, n in enumerate(group)], total.alias("rows"))
+            values = [c for k in range(len(group)) for c in (F.col(f"n{k}").cast("double"), F.coalesce(F.try_divide(f"n{k}", "rows"), F.lit(0.0)))]
+            wide = found.select(*[c.alias(f"m{k}") for k, c in enumerate(values)])
+            parts.append(_unpivoted(wide, [(n, m) for n in group for m in ("unique_count", "unique_rate")]))
+    out = parts[0] if parts else _unpivoted(df.limit(0), [])
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
