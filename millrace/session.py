@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,28 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, wherever the driver was started.
+
+    On one machine its folder goes on the workers' path; a cluster gets the package as a zip.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parents[1]
+    if sc.master.startswith("local"):
+        known = [p for p in (sc.environment.get("PYTHONPATH"), os.environ.get("PYTHONPATH")) if p]
+        sc.environment["PYTHONPATH"] = os.pathsep.join([str(root), *known])
+    else:
+        packed = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace.zip"  # served by the driver
+        with zipfile.ZipFile(packed, "w") as z:
+            for file in sorted((root / "millrace").rglob("*.py")):
+                z.write(file, file.relative_to(root))
+        sc.addPyFile(str(packed))
+    sc._millrace_shipped = True
     return spark
 
 
