@@ -153,3 +153,13 @@ def test_late_rows_are_dropped(spark, tmp_path):
         time.sleep(1.1)
     got = run(pipelines.tumbling(stream, "ts", "60 minutes", []), "late_rows", tmp_path, "append", spark)
     assert [r.n for r in got.orderBy("window_start").collect()][0] == 2
+
+
+def test_workers_find_the_package(spark):
+    import os
+    from pathlib import Path
+
+    from millrace.session import ship
+
+    root = str(Path(__file__).resolve().parents[1])
+    assert root in ship(spark).sparkContext.environment["PYTHONPATH"].split(os.pathsep)
