@@ -8,6 +8,10 @@ document the winnowed hashes of its GRAM-character pieces are kept, in such a wa
 run of `least` characters keeps at least one, the same in every document that holds the run.
 Documents meet only where they share such a hash, and automata are built of the stretch
 around the common hashes. Routing loses nothing, since every long enough run has a hash.
+
+A hash that very many documents share (boilerplate shorter than a run) would pair them all, so
+it is refined: every run around it has one of the windows of `least` characters that hold the
+piece, and documents meet where they share such a window, however many they are.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from millrace.session import load
 LEAST = 200
 #: Characters of a hashed piece (a power of two); a run keeps one of LEAST - GRAM + 1 pieces in a row.
 GRAM = 64
-#: Documents with a common hash up to which all pairs are formed; of more, each meets the smallest.
+#: Documents with a common hash up to which all pairs are formed; of more, those with a common window around it.
 MEET = 1000
+#: Parts into which the documents of a window shared by more than MEET are split for their join.
+SALTS = 16
 #: Characters hashed at once.
 CHUNK = 200_000
 #: Candidate documents up to which their ids are broadcast to the second reading of the texts.
@@ -110,10 +116,65 @@ def fingerprints(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.filter(F.col("text").isNotNull() & (F.length("text") >= least)).select("doc", "text").mapInArrow(run, "hash bigint, doc bigint, low int, high int")
 
 
-def candidate_pairs(prints: DataFrame) -> DataFrame:
+def window_hashes(text: str, least: int = LEAST) -> np.ndarray:
+    """Hash of the `least` characters that start at each position: of the two overlapping pieces that cover them."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    gram = 1 << (least.bit_length() - 1)
+    h = gram_hashes(codes, gram)
+    n = len(codes) - least + 1
+    both = (h[:n] * np.uint64(FACTOR)) ^ (h[least - gram : least - gram + n] >> np.uint64(7)) * MIX
+    return both ^ (both >> np.uint64(31))
+
+
+def windows(docs: DataFrame, hot: DataFrame, least: int) -> DataFrame:
+    """(hash, doc, low, high): windows of `least` characters around the hot (doc, hash), with the first and last position of the hot pieces in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                _, place, hashes = winnowed([text], least)
+                place = place[np.isin(hashes.view(np.int64), np.array(wanted, dtype=np.int64))]
+                whole = window_hashes(text, least)
+                start = np.arange(len(whole))
+                low, high = np.searchsorted(place, start), np.searchsorted(place, start + (least - GRAM), side="right") - 1
+                start = np.flatnonzero(low <= high)
+                h, low, high = whole[start], place[low[start]], place[high[start]]
+                order = np.lexsort((start, h))
+                h, low, high = h[order], low[order], high[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+                last = np.concatenate([first[1:], [len(h)]]) - 1 if len(first) else first
+                columns = [pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), doc, dtype=np.int64)), pa.array(low[first].astype(np.int32)), pa.array(high[last].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc", "low", "high"])
+
+    texts = docs.filter(F.length("text") >= least).select("doc", "text").dropDuplicates(["doc"])
+    wanted = hot.groupBy("doc").agg(F.collect_set("hash").alias("wanted"))
+    return texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(run, "hash bigint, doc bigint, low int, high int")
+
+
+def window_pairs(found: DataFrame) -> DataFrame:
+    """(x, y), members of x.doc < y.doc, of all documents that share a window.
+
+    Windows of the same documents (the neighbours in a longer passage) are one class, with
+    the stretch of them all in each document, so that a pair is formed about once.
+    """
+    found = write_once(found)
+    sets = found.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("one"), F.bit_xor(F.xxhash64("doc", F.lit("two"))).alias("two")).filter("docs > 1")
+    members = found.join(sets, "hash").groupBy("docs", "one", "two", "doc").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    members = write_once(members.select(F.xxhash64("docs", "one", "two").alias("class"), "docs", F.struct("doc", "low", "high").alias("x")))
+    few = members.filter(F.col("docs") <= MEET).groupBy("class").agg(F.collect_list("x").alias("m"))
+    pairs = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
+    many = members.filter(F.col("docs") > MEET)
+    left = many.select("class", "x", F.pmod(F.xxhash64("x.doc"), F.lit(SALTS)).alias("salt"))
+    right = many.select("class", F.col("x").alias("y"), F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(SALTS)))).alias("salt"))
+    return pairs.union(left.join(right, ["class", "salt"]).select("x", "y")).filter("x.doc < y.doc")
+
+
+def candidate_pairs(prints: DataFrame, docs: DataFrame | None = None, least: int = LEAST) -> DataFrame:
     """(a, b, and the stretch of common hashes in each), a < b, of documents that share a hash.
 
     One shuffle of the hashes; the count per hash and its join use the same partitioning.
+    With the texts of `docs` hashes of more than MEET documents are refined to the windows
+    around them and no pair is lost; without, each document meets the smallest only.
     """
     prints = prints.repartition("hash")
     shared = prints.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("docs")).filter("first <> last").select("hash", "first", "docs")
@@ -121,9 +182,13 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
     member = F.struct("doc", "low", "high")
     few = meeting.filter(F.col("docs") <= MEET).groupBy("hash").agg(F.collect_list(member).alias("m"))
     pairs = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter("x.doc < y.doc")
-    head = meeting.filter((F.col("docs") > MEET) & (F.col("doc") == F.col("first"))).select("hash", member.alias("x"))
-    tail = meeting.filter((F.col("docs") > MEET) & (F.col("doc") != F.col("first"))).select("hash", member.alias("y"))
-    pairs = pairs.union(head.join(tail, "hash").select("x", "y"))
+    hot = meeting.filter(F.col("docs") > MEET)
+    if docs is None:
+        head = hot.filter(F.col("doc") == F.col("first")).select("hash", member.alias("x"))
+        tail = hot.filter(F.col("doc") != F.col("first")).select("hash", member.alias("y"))
+        pairs = pairs.union(head.join(tail, "hash").select("x", "y"))
+    elif not hot.isEmpty():
+        pairs = pairs.union(window_pairs(windows(docs, hot, least)))
     return pairs.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.min("x.low").alias("low_a"), F.max("x.high").alias("high_a"), F.min("y.low").alias("low_b"), F.max("y.high").alias("high_b"))
 
 
@@ -184,15 +249,16 @@ class SpanAutomaton:
         return found
 
 
-def shared_spans(docs: DataFrame, least: int = LEAST, both_ways: bool = True) -> DataFrame:
+def shared_spans(docs: DataFrame, least: int = LEAST, both_ways: bool = True, whole: bool = False) -> DataFrame:
     """(a, b, start_a, start_b, size): maximal shared spans of pairs a < b of documents (doc, text).
 
-    Null texts and texts shorter than `least` take no part. Of more than MEET documents with
-    one hash each is compared with the smallest. With `both_ways` repeats of a passage within
+    Null texts and texts shorter than `least` take no part. `whole` finds all pairs, as the
+    queries do; otherwise of more than MEET documents with one hash each is compared with
+    the smallest only. With `both_ways` repeats of a passage within
     a are found as well: each direction reports the positions of the streamed document, the
     position in the other being one occurrence (the first).
     """
-    pairs = write_once(candidate_pairs(fingerprints(docs, least)))
+    pairs = write_once(candidate_pairs(fingerprints(docs, least), docs if whole else None, least))
     ids = write_once(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
     few = ids.count() <= BROADCAST_IDS
     texts = write_once(docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"]))
@@ -245,14 +311,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id_a, doc_id_b) that share a verbatim run of at least 200 code points."""
-    spans = shared_spans(corpus(spark, sf_dir), both_ways=False)
+    spans = shared_spans(corpus(spark, sf_dir), both_ways=False, whole=True)
     return spans.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with a shared passage, and the share of its text that occurs elsewhere too."""
     docs = corpus(spark, sf_dir)
-    return shared_shares(docs, write_once(shared_spans(docs))).withColumnRenamed("doc", "doc_id")
+    return shared_shares(docs, write_once(shared_spans(docs, whole=True))).withColumnRenamed("doc", "doc_id")
 
 
 QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares}

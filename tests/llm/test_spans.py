@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from millrace.llm import spans as S
@@ -83,6 +84,31 @@ def test_hot_passage_meets_the_smallest(spark):
     assert got >= {(0, k) for k in range(1, 60)} and len(got) < 200
 
 
+def test_hot_passage_and_hot_boilerplate_give_all_pairs(spark, monkeypatch):
+    """Pairs of a hot passage, and pairs whose run is only routed by a hot piece, against brute force, with their shares."""
+    monkeypatch.setattr(S, "MEET", 8)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    hot, piece = text(260), text(150)
+    twins = [text(40) + piece + text(40) for _ in range(5)]
+    rows = [(k, hot + text(50)) for k in range(20)] + [(k, text(90) + piece + text(90)) for k in range(20, 50)]
+    rows += [(k, text(30) + twins[k % 5] + text(80)) for k in range(50, 65)] + [(70, hot + text(300) + twins[0]), (71, twins[0] + hot + twins[0])]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and longest_run(x, y, 200)}
+    assert {(r.a, r.b) for r in S.shared_spans(df, whole=True).collect()} == want and len(want) > 200
+    got = {r.doc: r.shared_chars for r in S.shared_shares(df, S.shared_spans(df, whole=True)).collect()}
+    assert got == {d: n for d, t in rows if (n := brute_share(t, [o for e, o in rows if e != d], 200))}
+
+
+@pytest.mark.parametrize("query, size", [("p9_found", 66), ("p9_shares", 12)])
+def test_queries_find_all_of_a_hot_passage(spark, tmp_path, monkeypatch, query, size):
+    monkeypatch.setattr(S, "MEET", 4)
+    rng = random.Random(6)
+    hot = "".join(rng.choice("abcdef") for _ in range(230))
+    spark.createDataFrame([(k, hot + chr(0x4E00 + k)) for k in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert S.QUERIES[query](spark, str(tmp_path)).count() == size
+
+
 def test_empty_table_and_queries(spark, sf):
     df = spark.createDataFrame([], "doc long, text string")
     assert S.shared_spans(df).count() == 0
