@@ -1,13 +1,13 @@
 """Near-duplicate texts by bottom-k sketches from one hash function (problem 6).
 
 Every text is the set of its distinct word shingles under one 64-bit hash, kept sorted,
-so its first k values are its bottom-k sketch. Inverted lists of retained values give the
+so its first k values are its bottom-k sketch. Inverted lists of such values give the
 candidate pairs, the k smallest hashes of the union (read off the two sketches) estimate
 the similarity and drop clear misses, and the exact Jaccard of the full sets decides.
 
-A list per single retained value would be as long as the most common phrase is frequent,
+A list per single value would be as long as the most common phrase is frequent,
 and the overlaps would grow with the square of the corpus. So a list is keyed by several
-retained values at once: the sketch is ranked by `bands * rows` cheap remixes of the one
+values of the set at once: the whole set is ranked by `bands * rows` cheap remixes of the one
 hash, the smallest value under each remix is taken, and `rows` of them make a key. Two
 texts of similarity t share a key but for a chance of (1 - t**rows)**bands, below 1e-3 at
 the threshold and far less above it; `rows` grows with the logarithm of the corpus. All texts and all lists take part; a list longer than
@@ -31,8 +31,8 @@ from millrace.session import load
 
 WORD = re.compile(r"[^\W_]+")
 SKETCH = 64
-#: Smallest hashes that a text ranks for its list keys.
-RETAINED = 1024
+#: Hashes that a text ranks for its list keys at once; longer sets take blocks and a running minimum.
+BLOCK = 1024
 #: Meetings that two texts at the threshold have on average; exp(-SURE) is the chance of none.
 SURE = 7.2
 #: Pairs of copies, at most, that a link or a group is expanded to; beyond, representatives stand for copies.
@@ -93,9 +93,12 @@ class Keys:
         self.band = rng.integers(0, 2**63, bands, dtype=np.uint64)
 
     def __call__(self, values: np.ndarray, salt: int) -> np.ndarray:
-        mixed = (values[:RETAINED] >> np.uint64(16)).astype(np.uint32)[:, None] * self.factor
-        mixed ^= mixed >> np.uint32(15)
-        least = mixed.min(axis=0).astype(np.uint64).reshape(self.bands, self.rows)
+        least = np.full(len(self.factor), np.iinfo(np.uint32).max, dtype=np.uint32)
+        for at in range(0, len(values), BLOCK):
+            mixed = (values[at : at + BLOCK] >> np.uint64(16)).astype(np.uint32)[:, None] * self.factor
+            mixed ^= mixed >> np.uint32(15)
+            np.minimum(least, mixed.min(axis=0), out=least)
+        least = least.astype(np.uint64).reshape(self.bands, self.rows)
         keys = (least * self.fold).sum(axis=1) ^ self.band ^ np.uint64(salt)
         return (keys ^ (keys >> np.uint64(31))) * M3
 

@@ -80,6 +80,26 @@ def test_keys_meet_their_chance():
     assert missed <= 2 and met <= 40
 
 
+@pytest.mark.parametrize("texts", [1000, 10**6])
+@pytest.mark.parametrize("common, size", [(1200, 2000), (3000, 5000)])
+def test_keys_of_long_texts_meet_their_extensions(texts, common, size):
+    """A text of more than a thousand runs and its extension to similarity 0.6 share a list as surely as short ones."""
+    rng = np.random.default_rng(3)
+    keyed, missed = N.Keys(*N.key_shape(0.6, texts)), 0
+    for _ in range(100):
+        whole = rng.integers(0, 2**63, size, dtype=np.uint64)
+        a, b = np.unique(whole[:common]), np.unique(whole)
+        missed += not set(keyed(a, 5).tolist()) & set(keyed(b, 5).tolist())
+    assert missed <= 1
+
+
+def test_keys_do_not_depend_on_blocks(monkeypatch):
+    values, keyed = np.arange(1, 700, dtype=np.uint64) * N.M1, N.Keys(4, 56)
+    want = keyed(values, 3)
+    monkeypatch.setattr(N, "BLOCK", 64)
+    assert (keyed(values, 3) == want).all()
+
+
 def test_key_shape_and_packing():
     assert N.key_shape(0.6, 1000) == (4, 56) and N.key_shape(0.6, 10**6)[0] == 5 and N.key_shape(0.6, 10**9)[0] == 8
     keys = N.Keys(5, 300)(np.arange(1, 50, dtype=np.uint64) * N.M1, 3)
