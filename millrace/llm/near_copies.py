@@ -35,8 +35,8 @@ SKETCH = 64
 BLOCK = 1024
 #: Meetings that two texts at the threshold have on average; exp(-SURE) is the chance of none.
 SURE = 7.2
-#: Pairs of copies, at most, that a link or a group is expanded to; beyond, representatives stand for copies.
-EXPANDED = 1000
+#: Texts of one set that travel in one list, on average, and parts into which the lists of a larger group are split for their join.
+COPIES, SALTS = 1000, 16
 #: A list longer than this is paired by a join, which splits skewed keys, and not in one task.
 LIST_ROWS = 2000
 #: Candidate documents up to which their ids are broadcast to the second reading of the texts.
@@ -248,26 +248,24 @@ def rag_and_cache_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(tbl, id_a, id_b): pairs of ids from groups and links.
+    """(tbl, id_a, id_b): all pairs of ids from groups and links.
 
-    A link between groups whose copies make at most EXPANDED pairs gives all of them, a
-    larger one its representatives; likewise within a group, where the larger ones give
-    each copy with the representative.
+    The ids of a group travel in lists of about COPIES; every list of a group meets every
+    other, and a link pairs all lists of its two groups.
     """
-    small = members.filter((F.col("copies") > 1) & (F.col("copies") <= EXPANDED)).groupBy("tbl", "rep").agg(F.collect_list("id").alias("ids"))
-    within = small.filter(F.size("ids") * F.size("ids") <= EXPANDED).select("tbl", "ids", F.explode("ids").alias("x")).select("tbl", "x", F.explode("ids").alias("y")).filter("x < y")
-    star = members.filter((F.col("copies") * F.col("copies") > EXPANDED) & (F.col("id") != F.col("rep"))).select("tbl", F.col("rep").alias("x"), F.col("id").alias("y"))
-    sizes = members.filter("copies > 1 and id = rep").select("tbl", "rep", "copies")
-    x = small.select("tbl", F.col("rep").alias("a"), F.col("ids").alias("ids_a"))
-    y = small.select("tbl", F.col("rep").alias("b"), F.col("ids").alias("ids_b"))
-    na, nb = sizes.select("tbl", F.col("rep").alias("a"), F.col("copies").alias("na")), sizes.select("tbl", F.col("rep").alias("b"), F.col("copies").alias("nb"))
-    wide = links.join(na, ["tbl", "a"], "left").join(nb, ["tbl", "b"], "left").fillna(1, ["na", "nb"])
-    wide = wide.join(x, ["tbl", "a"], "left").join(y, ["tbl", "b"], "left")
-    all_of = F.col("na") * F.col("nb") <= EXPANDED
-    one = lambda ids, rep: F.when(all_of & F.col(ids).isNotNull(), F.col(ids)).otherwise(F.array(rep))
-    across = wide.select("tbl", one("ids_a", "a").alias("p"), one("ids_b", "b").alias("q")).select("tbl", F.explode("p").alias("x"), "q").select("tbl", "x", F.explode("q").alias("y"))
-    pairs = within.unionByName(star).unionByName(across)
-    return pairs.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    parts = F.ceil(F.col("copies") / COPIES).cast("bigint")
+    several = members.filter("copies > 1").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    lists = write_once(several.groupBy("tbl", "rep", "parts", "part").agg(F.collect_list("id").alias("ids")))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("parts"), F.lit(SALTS)) - 1))
+    p = lists.select("tbl", "rep", F.pmod("part", F.lit(SALTS)).alias("salt"), F.col("part").alias("p"), F.col("ids").alias("xs"))
+    q = lists.select("tbl", "rep", salts.alias("salt"), F.col("part").alias("q"), F.col("ids").alias("ys"))
+    within = p.join(q, ["tbl", "rep", "salt"]).filter("p <= q").select("tbl", "p", "q", F.explode("xs").alias("x"), "ys").select("tbl", "p", "q", "x", F.explode("ys").alias("y"))
+    within = within.filter("p < q or x < y").select("tbl", "x", "y")
+    wide = links.join(lists.select("tbl", F.col("rep").alias("a"), F.col("ids").alias("xs")), ["tbl", "a"], "left")
+    wide = wide.join(lists.select("tbl", F.col("rep").alias("b"), F.col("ids").alias("ys")), ["tbl", "b"], "left")
+    one = lambda ids, rep: F.coalesce(F.col(ids), F.array(rep))
+    across = wide.select("tbl", F.explode(one("xs", "a")).alias("x"), one("ys", "b").alias("ys")).select("tbl", "x", F.explode("ys").alias("y"))
+    return within.unionByName(across).select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,19 @@ def test_estimate():
     assert N.estimate(a, a) == 1.0 and N.estimate(a[:10], a[:10]) == 1.0
 
 
+@pytest.mark.parametrize("copies", [1000, 7])
+def test_expand_gives_all_pairs(spark, monkeypatch, copies):
+    """Groups of 100, 45 and 1 and their links: every pair of ids, in one list or in several."""
+    monkeypatch.setattr(N, "COPIES", copies)
+    groups = {"a": [f"a{k:03d}" for k in range(100)], "b": [f"b{k:03d}" for k in range(45)], "c": ["c000"]}
+    members = spark.createDataFrame([("t", i, ids[0], len(ids)) for ids in groups.values() for i in ids], "tbl string, id string, rep string, copies long")
+    links = spark.createDataFrame([("t", "a000", "b000", 0.7), ("t", "b000", "c000", 0.7)], "tbl string, a string, b string, similarity double")
+    got = [(r.id_a, r.id_b) for r in N.expand(members, links).collect()]
+    linked = {("a", "a"), ("b", "b"), ("a", "b"), ("b", "c")}
+    want = {(x, y) for g, h in linked for x in groups[g] for y in groups[h] if x < y}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     edges = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(40)] + [("x", "y"), ("z", "y"), ("y", "y")]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
