@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from millrace.llm.endings import WITHHELD, at_limit, evidence, is_cut, llm_calls
 
 ALNUM = re.compile(r"[\W_]+")
-TAG = re.compile(r"<[^<>]{0,200}>|```\w*|&nbsp;")
+#: Markup; in angles, what is longer than 200 characters must look like a tag with attributes or a comment.
+TAG = re.compile(r"<[^<>]{0,200}>|</?[A-Za-z][\w:-]*\s[^<>=]*=[^<>]*>|<![^<>]*>|```\w*|&nbsp;")
 #: Words that stand for no value.
 NO_VALUE = frozenset({"null", "none", "nil", "na", "nan", "nul", "undefined", "void", "empty", "novalue", "nodata", "noresponse", "noanswer", "noresult", "nichts", "leer", "vide", "aucun", "vacío", "ninguno"})
 
@@ -92,8 +93,6 @@ def is_empty(response: str | None) -> bool:
     """Nothing to read: null, blank, punctuation, empty markup or a word for no value; `0`, `No` and the like are answers."""
     if response is None:
         return True
-    if len(response) > 400:
-        return not ALNUM.sub("", TAG.sub("", response))
     left = ALNUM.sub("", TAG.sub("", response)).lower()
     if left:
         return left in NO_VALUE
@@ -102,8 +101,6 @@ def is_empty(response: str | None) -> bool:
 
 def is_refusal(response: str) -> bool:
     """Every sentence refuses or only comes along with a refusal, and one refuses. Quoted and answered refusals are none."""
-    if len(response) > 1200:
-        return False
     refused = False
     for sentence in SENTENCE.split(response.strip()):
         plain = f" {' '.join(re.findall(r'[^\W_]+', sentence.lower()))} "

@@ -37,6 +37,25 @@ def test_refusal(text, refused):
     assert P.is_refusal(text) is refused
 
 
+@pytest.mark.parametrize("text", ["<div><p>" * 500 + "null" + "</p></div>" * 500, " \n" * 3000 + "N/A" + " " * 3000, "<p>" * 900, f'<div style="{"color: red; " * 300}"></div>', f"<!-- {'note ' * 400}--> none", "- " * 2000])
+def test_long_empty(text):
+    assert P.is_empty(text) and P.defect(PROMPT, text, False) == "empty"
+
+
+@pytest.mark.parametrize("text", ["0" + " " * 5000, "<p>" * 900 + "No", f"<{'the rows are read ' * 40}>", "null " * 200 + "rows"])
+def test_long_answers_are_not_empty(text):
+    assert not P.is_empty(text)
+
+
+def test_long_refusals():
+    """Several thousand characters that only refuse are a refusal; an answer at their end makes them none."""
+    grounds = "Unfortunately, it would expose confidential data. I must decline this request. Please contact the owner of the table. " * 60
+    text = "I'm sorry, but I can't help with that request. " + grounds
+    assert len(text) > 6000 and P.is_refusal(text) and P.defect(PROMPT, text, False) == "refusal"
+    assert not P.is_refusal(text + "The export reads one file.")
+    assert not P.is_refusal("The export reads one file. " * 300 + "I cannot help with that.")
+
+
 @pytest.mark.parametrize(
     "text, copied",
     [
