@@ -24,10 +24,6 @@ from millrace.session import load
 WITHHELD = "[not logged]"
 #: A limit is a length of at least SHORTEST at which at least LEAST texts end, and TIMES as many as at its neighbours on average.
 SHORTEST, LEAST, TIMES, REACH = 48, 8, 6, 12
-#: Limits kept per source and field, strongest first.
-KEPT = 4
-#: Words that end list items, kept so that they are at most this many.
-ITEM_WORDS = 2_000_000
 
 #: Marks that stand for a cut, and phrases after which an ellipsis is none.
 CUT_MARK = re.compile(r"(?:\.\.\.|…)?\s*[\[(<]\s*(?:truncated|cut off|cut|snip|snipped|output truncated|gekürzt|abgeschnitten|tronqué|truncado|recortado)\s*[\])>]\s*$", re.IGNORECASE)
@@ -119,38 +115,104 @@ def hidden_limits(statistics: DataFrame) -> DataFrame:
     """(source, field, encoding, length, texts, near): lengths at which a source's texts pile up.
 
     A range frame over the counts of `text_statistics`. Encodings that agree (most texts are
-    plain ASCII) show the same pile; the one with most texts is kept.
+    plain ASCII) show the same pile; `limits_by_source` merges them.
     """
     counts = statistics.filter("encoding is not null").drop("word")
     around = W.partitionBy("source", "field", "encoding").orderBy("length").rangeBetween(-REACH, REACH)
     counts = counts.withColumn("near", (F.sum("texts").over(around) - F.col("texts")) / (2 * REACH))
     piles = counts.filter((F.col("length") >= SHORTEST) & (F.col("texts") >= LEAST) & (F.col("texts") >= TIMES * F.col("near")))
     rank = W.partitionBy("source", "field").orderBy(F.desc("texts"), F.array_position(F.array(*map(F.lit, ENCODINGS)), F.col("encoding")), "length")
-    return piles.withColumn("strength", F.row_number().over(rank)).filter(F.col("strength") <= 40)
+    return piles.withColumn("strength", F.row_number().over(rank))
 
 
-def limits_by_source(limits: DataFrame) -> dict[tuple[str, str], list[tuple[str, int]]]:
-    """The KEPT strongest limits of each source and field; a weaker pile within 4 % of a stronger one is its shadow."""
-    chosen: dict = {}
+def pile_members(calls: DataFrame, piles: dict[tuple[str, str], list[tuple[str, int]]]) -> DataFrame:
+    """(source, field, hit, texts): texts by the piles (numbers in the list of their source and field) that they belong to."""
+    at: dict = {}
+    for key, own in piles.items():
+        for number, (encoding, n) in enumerate(own):
+            at.setdefault(key, [{} for _ in ENCODINGS])[ENCODINGS.index(encoding)][n] = number
+    shared = calls.sparkSession.sparkContext.broadcast(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            sources = batch.column(0).to_pylist()
+            for k, field in ((1, "prompt"), (2, "response")):
+                for source, text in zip(sources, batch.column(k).to_pylist()):
+                    own = shared.value.get((source or "", field))
+                    if own is None or text is None or text == WITHHELD:
+                        continue
+                    hit, split = [], not text.isascii()
+                    for encoding, numbers, n in zip(ENCODINGS, own, encoded_lengths(text)):
+                        if numbers:
+                            hit += [numbers[m] for m in range(n, n + (4 if split and "utf8" in encoding else 1)) if m in numbers]
+                    if hit:
+                        found[source or "", field, tuple(sorted(hit))] += 1
+        rows = list(found.items())
+        columns = [pa.array([key[0] for key, _ in rows], pa.string()), pa.array([key[1] for key, _ in rows], pa.string()), pa.array([key[2] for key, _ in rows], pa.list_(pa.int32())), pa.array([n for _, n in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["source", "field", "hit", "texts"])
+
+    rows = calls.select("source", "prompt", "response").mapInArrow(run, "source string, field string, hit array<int>, texts bigint")
+    return rows.groupBy("source", "field", "hit").agg(F.sum("texts").alias("texts"))
+
+
+def limits_by_source(calls: DataFrame, limits: DataFrame) -> dict[tuple[str, str], list[tuple[str, int]]]:
+    """The limits of each source and field, strongest first, however many.
+
+    A pile is a limit if it still is a pile without the texts that stronger limits explain:
+    so one limit under several encodings counts once, and neighbouring limits all stay.
+    """
+    piles: dict = {}
     for r in limits.orderBy("source", "field", "strength").collect():
-        own = chosen.setdefault((r.source, r.field), [])
-        if len(own) < KEPT and all(abs(r.length - n) > 0.04 * n for _, n in own):
-            own.append((r.encoding, r.length))
+        piles.setdefault((r.source, r.field), []).append((r.encoding, r.length, r.near))
+    if not piles:
+        return {}
+    hits: dict = {}
+    for r in pile_members(calls, {key: [(e, n) for e, n, _ in own] for key, own in piles.items()}).collect():
+        hits.setdefault((r.source, r.field), []).append((r.hit, r.texts))
+    chosen: dict = {}
+    for key, own in piles.items():
+        left = Counter()
+        of_pile: dict = {}
+        for row, (hit, texts) in enumerate(hits.get(key, [])):
+            for number in hit:
+                left[number] += texts
+                of_pile.setdefault(number, []).append(row)
+        open_rows = set(range(len(hits.get(key, []))))
+        while left:
+            best = min(left, key=lambda number: (-left[number], number))
+            n = left.pop(best)
+            if n < max(LEAST, TIMES * own[best][2]):
+                continue
+            chosen.setdefault(key, []).append(own[best][:2])
+            for row in of_pile[best]:
+                if row in open_rows:
+                    open_rows.discard(row)
+                    for number in hits[key][row][0]:
+                        if number in left:
+                            left[number] -= hits[key][row][1]
     return chosen
 
 
-def item_words(statistics: DataFrame) -> frozenset[str]:
-    """Words that end a list item that another line follows: such items are whole."""
-    words = statistics.filter("word is not null").select("word", F.col("texts").alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = -(-total // ITEM_WORDS) or 1
-    return frozenset(r.word for r in words.filter(F.col("n") >= least).select("word").collect())
+def evidence(calls: DataFrame) -> tuple[dict[tuple[str, str], list[tuple[str, int]]], DataFrame]:
+    """The limits by source and field, and the table (word) of the words that end a list item that another line follows (such items are whole)."""
+    statistics = text_statistics(calls)
+    return limits_by_source(calls, hidden_limits(statistics)), statistics.filter("word is not null").select("word")
 
 
-def evidence(calls: DataFrame) -> tuple[dict[tuple[str, str], list[tuple[str, int]]], frozenset[str]]:
-    """The limits by source and field, and the words that end list items: what the verdicts need of the corpus."""
-    statistics = text_statistics(calls)
-    return limits_by_source(hidden_limits(statistics)), item_words(statistics)
+class Asked:
+    """Stands for the words that end whole list items: notes the word that a verdict hangs on, and takes it for one of them."""
+
+    word: str | None = None
+
+    def __contains__(self, word: str) -> bool:
+        self.word = word
+        return True
+
+
+def unknown_items(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of `asked` (call_id, field, word) whose word ends no whole list item: their texts are cut."""
+    return asked.filter("word is not null").join(words, "word", "left_anti").select("call_id", "field")
 
 
 def open_delimiters(text: str) -> bool:
@@ -173,7 +235,7 @@ def open_delimiters(text: str) -> bool:
     return inside or depth > 0
 
 
-def is_cut(text: str | None, at_limit: bool, item_ends: frozenset[str] | None = None, copied_from: str | None = None) -> bool:
+def is_cut(text: str | None, at_limit: bool, item_ends: frozenset[str] | Asked | None = None, copied_from: str | None = None) -> bool:
     """Whether a text breaks off.
 
     `at_limit`: it is as long as a hidden limit. `item_ends`: words that end whole list
@@ -231,24 +293,32 @@ def is_cut(text: str | None, at_limit: bool, item_ends: frozenset[str] | None =
 def with_cuts(calls: DataFrame) -> DataFrame:
     """(call_id, source, cut_prompt, cut_response) of each call once.
 
-    Two passes over the two text columns; texts are never shuffled, only their verdicts.
+    Three passes over the two text columns; texts are never shuffled, only their verdicts.
+    Where the last word of a list item decides, it is joined to the words of all whole items.
     Rows without a call_id take no part in pairs but do in the statistics of lengths.
     """
     calls = calls.select("call_id", "source", "prompt", "response")
     spark = calls.sparkSession
-    shared = spark.sparkContext.broadcast(evidence(calls))
+    limits, words = evidence(calls)
+    shared = spark.sparkContext.broadcast(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits, ends = shared.value
+        limits = shared.value
         for batch in batches:
-            prompts, responses = [], []
+            out = []
             for source, prompt, response in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                prompts.append(is_cut(prompt, at_limit(prompt, limits.get((source or "", "prompt"))), ends))
-                responses.append(is_cut(response, at_limit(response, limits.get((source or "", "response"))), ends, prompt))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prompts, pa.bool_()), pa.array(responses, pa.bool_())], names=["call_id", "source", "cut_prompt", "cut_response"])
-
-    verdicts = calls.mapInArrow(run, "call_id bigint, source string, cut_prompt boolean, cut_response boolean")
-    return verdicts.filter("call_id is not null").dropDuplicates(["call_id"])
+                p, r = Asked(), Asked()
+                cut = is_cut(prompt, at_limit(prompt, limits.get((source or "", "prompt"))), p)
+                out.append((cut, is_cut(response, at_limit(response, limits.get((source or "", "response"))), r, prompt), p.word, r.word))
+            columns = [pa.array([row[k] for row in out], pa.bool_() if k < 2 else pa.string()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["call_id", "source", "cut_prompt", "cut_response", "prompt", "response"])
+
+    verdicts = calls.mapInArrow(run, "call_id bigint, source string, cut_prompt boolean, cut_response boolean, prompt string, response string")
+    verdicts = write_once(verdicts.filter("call_id is not null").dropDuplicates(["call_id"]))
+    asked = verdicts.select("call_id", F.lit("prompt").alias("field"), F.col("prompt").alias("word")).union(verdicts.select("call_id", F.lit("response"), "response"))
+    late = unknown_items(asked, words).groupBy("call_id").agg(*(F.max(F.col("field") == field).alias(f"late_{field}") for field in ("prompt", "response")))
+    cuts = [(F.col(f"cut_{field}") | F.coalesce(f"late_{field}", F.lit(False))).alias(f"cut_{field}") for field in ("prompt", "response")]
+    return verdicts.join(late, "call_id", "left").select("call_id", "source", *cuts)
 
 
 def at_limit(text: str | None, limits: list[tuple[str, int]] | None) -> bool:

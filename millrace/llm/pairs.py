@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.endings import WITHHELD, at_limit, evidence, is_cut, llm_calls
+from millrace.llm.common import write_once
+from millrace.llm.endings import WITHHELD, Asked, at_limit, evidence, is_cut, llm_calls, unknown_items
 
 ALNUM = re.compile(r"[\W_]+")
 #: Markup; in angles, what is longer than 200 characters must look like a tag with attributes or a comment.
@@ -265,22 +266,28 @@ def defect(prompt: str | None, response: str | None, cut: bool) -> str | None:
 def with_defects(calls: DataFrame) -> DataFrame:
     """(call_id, source, defect) of each call once; defect is null for a sound pair.
 
-    Texts are read twice (statistics, verdicts) and never shuffled. Rows
+    Texts are read three times (statistics, limits, verdicts) and never shuffled. Rows
     without a call_id take part in the statistics only. Nulls in any other column are fine.
     """
     calls = calls.select("call_id", "source", "prompt", "response")
-    shared = calls.sparkSession.sparkContext.broadcast(evidence(calls))
+    limits, words = evidence(calls)
+    shared = calls.sparkSession.sparkContext.broadcast(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits, ends = shared.value
+        limits = shared.value
         for batch in batches:
-            found = []
+            found, asked = [], []
             for source, prompt, response in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                cut = is_cut(response, at_limit(response, limits.get((source or "", "response"))), ends, prompt)
+                item = Asked()
+                cut = is_cut(response, at_limit(response, limits.get((source or "", "response"))), item, prompt)
                 found.append(defect(prompt, response, cut))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["call_id", "source", "defect"])
+                asked.append(None if found[-1] == "empty" else item.word)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(asked, pa.string())], names=["call_id", "source", "defect", "word"])
 
-    return calls.mapInArrow(run, "call_id bigint, source string, defect string").filter("call_id is not null").dropDuplicates(["call_id"])
+    verdicts = calls.mapInArrow(run, "call_id bigint, source string, defect string, word string")
+    verdicts = write_once(verdicts.filter("call_id is not null").dropDuplicates(["call_id"]))
+    late = unknown_items(verdicts.select("call_id", F.lit("response").alias("field"), "word"), words)
+    return verdicts.join(late, "call_id", "left").select("call_id", "source", F.when(F.col("field").isNotNull(), "truncated").otherwise(F.col("defect")).alias("defect"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

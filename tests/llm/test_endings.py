@@ -3,7 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from millrace.llm import endings as E
+from millrace.llm import endings as E, pairs as P
 
 ENDS = frozenset({"scheduler", "export", "lookup"})
 
@@ -70,6 +70,31 @@ def test_hidden_limit_is_found(spark):
     assert E.with_cuts(df.limit(0)).count() == 0
 
 
+def test_all_limits_are_found(spark):
+    """Ten limits of a source, some within 4 % of each other, each once; texts of a shadow length are none."""
+    rng, sizes = random.Random(2), (100, 103, 200, 204, 300, 500, 512, 1000, 1024, 2000)
+    rows = []
+    for n in sizes:
+        for k in range(30):
+            text = "".join(rng.choice("abcdef gh") for _ in range(n - 3)) + "abc"
+            rows.append((len(rows), "s", "why", text if k % 5 else text[1:-3] + "\n-" + "ab", "x"))
+    rows += [(len(rows) + k, "s", "why", "b" * (600 + 7 * k), "x") for k in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    limits = E.evidence(df)[0]["s", "response"]
+    assert sorted(n for _, n in limits) == sorted(sizes)
+    assert {n for n in sizes} <= {r.length for r in E.hidden_limits(E.text_statistics(df)).collect()}
+    assert all(r.cut_response for r in E.with_cuts(df).collect() if r.call_id < 300)
+
+
+def test_rare_words_of_list_items_are_known(spark, monkeypatch):
+    """A word that ends one whole item among many is known, in p1 as in p2; a fragment is not."""
+    monkeypatch.setattr(E, "ITEM_WORDS", 10, raising=False)
+    rows = [(k, "s", "why", "Result:\n" + "- the export\n" * (k + 5) + "- the export", "x") for k in range(20)] + [(100, "s", "why", "Result:\n- the zebra\n- the export", "x"), (101, "s", "why", "Result:\n- the export\n- the zebra", "x"), (102, "s", "why", "Result:\n- the export\n- the zeb", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.call_id for r in E.with_cuts(df).collect() if r.cut_response} == {102}
+    assert {r.call_id for r in P.with_defects(df).collect() if r.defect == "truncated"} == {102}
+
+
 def test_queries(spark, sf):
     found = E.p2_found(spark, sf)
     assert found.columns == ["call_id", "field"] and found.count() == found.distinct().count() > 0
