@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import near_copies as N
 from millrace.llm.common import components
@@ -22,6 +23,17 @@ def brute(rows, t, width, least):
     return {(p[0], p[1], q[1]) for k, p in enumerate(keys) for q in keys[k + 1 :] if p[0] == q[0] and len(sets[p] & sets[q]) >= t * len(sets[p] | sets[q]) - 1e-12}
 
 
+def same(rows):
+    """Shingle sets that several ids of a table have."""
+    seen, twice = set(), set()
+    for tbl, i, x in rows:
+        if x and len(WORD.findall(x.lower())) >= 30:
+            key = tbl, shingle_set(x, 3)
+            twice |= {key[1]} if key in seen else set()
+            seen.add(key)
+    return twice
+
+
 def edited(rng, words, edits):
     words = list(words)
     for _ in range(edits):
@@ -68,52 +80,81 @@ def test_against_brute_force(spark, t, width, least):
     assert {("a", "h000", f"h{k:03d}") for k in range(1, 70)} <= pairs
 
 
-def test_keys_meet_their_chance():
-    """Sets of similarity 0.6 share a list but once in thousands; of 0.1 hardly ever."""
+def lists_of(values, table, texts):
+    owner, key, hot = N.runs([N.pack(values)], np.array([5], dtype=np.uint64), np.array([texts]), table, N.rates(0.6))
+    return set(key.tolist())
+
+
+@pytest.mark.parametrize("frequent", [1, 20, 1000, 100_000, 800_000])
+@pytest.mark.parametrize("common, size", [(60, 100), (120, 200), (1200, 2000), (6000, 10_000)])
+def test_similar_sets_meet_at_any_size_and_frequency(common, size, frequent):
+    """Of 300 texts and their extensions to similarity 0.6 all but one or two meet twice, however frequent their values are in a corpus of 10**6."""
+    rng = np.random.default_rng(3)
+    table, missed = np.full(N.COUNTERS, frequent, dtype=np.uint32), 0
+    for _ in range(300):
+        whole = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(whole[:common]), np.unique(whole)
+        missed += len(lists_of(a, table, 10**6) & lists_of(b, table, 10**6)) < 2
+    assert missed <= 2
+
+
+def test_equal_sizes_meet_and_strangers_do_not():
     rng = np.random.default_rng(1)
-    keyed, missed, met = N.Keys(*N.key_shape(0.6, 1000)), 0, 0
+    table, missed, met = rng.integers(1, 5000, N.COUNTERS).astype(np.uint32), 0, 0
     for _ in range(400):
-        pool = rng.integers(0, 2**63, 200, dtype=np.uint64)
-        a, b, c = np.unique(pool[:120]), np.unique(pool[30:150]), np.unique(pool[100:200])
-        keys = [set(keyed(x, 5).tolist()) for x in (a, b, c)]
-        missed, met = missed + (not keys[0] & keys[1]), met + bool(keys[0] & keys[2])
+        pool = rng.integers(0, 2**63, 280, dtype=np.uint64) * np.uint64(2)
+        a, b, c = np.unique(pool[:160]), np.unique(pool[40:200]), np.unique(pool[136:280])
+        keys = [lists_of(x, table, 10**6) for x in (a, b, c)]
+        missed, met = missed + (len(keys[0] & keys[1]) < 2), met + (len(keys[0] & keys[2]) >= 2)
     assert missed <= 2 and met <= 40
 
 
-@pytest.mark.parametrize("texts", [1000, 10**6])
-@pytest.mark.parametrize("common, size", [(1200, 2000), (3000, 5000)])
-def test_keys_of_long_texts_meet_their_extensions(texts, common, size):
-    """A text of more than a thousand runs and its extension to similarity 0.6 share a list as surely as short ones."""
-    rng = np.random.default_rng(3)
-    keyed, missed = N.Keys(*N.key_shape(0.6, texts)), 0
-    for _ in range(100):
-        whole = rng.integers(0, 2**63, size, dtype=np.uint64)
-        a, b = np.unique(whole[:common]), np.unique(whole)
-        missed += not set(keyed(a, 5).tolist()) & set(keyed(b, 5).tolist())
-    assert missed <= 1
+def test_few_rare_values_are_enough():
+    """Rare values have lists of their own, about a dozen; frequent ones take longer and more runs."""
+    values = np.sort(np.random.default_rng(2).integers(0, 2**63, 500, dtype=np.uint64)) * np.uint64(2)
+    rare, frequent = (len(lists_of(values, np.full(N.COUNTERS, n, dtype=np.uint32), 10**6)) for n in (5, 5000))
+    assert 10 <= rare <= 13 and 40 <= frequent <= N.RETAINED
 
 
-def test_keys_do_not_depend_on_blocks(monkeypatch):
-    values, keyed = np.arange(1, 700, dtype=np.uint64) * N.M1, N.Keys(4, 56)
-    want = keyed(values, 3)
-    monkeypatch.setattr(N, "BLOCK", 64)
-    assert (keyed(values, 3) == want).all()
+def test_rates_and_packing():
+    assert np.allclose(N.rates(0.6)[1:3], [0.916, 0.316], atol=0.001) and (np.diff(N.rates(0.8)[1:]) < 0).all()
+    values = np.sort(np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64))
+    assert (N.unpack(N.pack(values)) == values[: N.RETAINED] >> np.uint64(24)).all()
 
 
-def test_key_shape_and_packing():
-    assert N.key_shape(0.6, 1000) == (4, 56) and N.key_shape(0.6, 10**6)[0] == 5 and N.key_shape(0.6, 10**9)[0] == 8
-    keys = N.Keys(5, 300)(np.arange(1, 50, dtype=np.uint64) * N.M1, 3)
-    back = N.Keys.unpack(N.Keys.pack(keys) * 2, 300)
-    assert (back[:300] == back[300:]).all() and len(set(back.tolist())) == 300
+@pytest.mark.parametrize("bound", [4, 12])
+def test_hot_lists_become_corpora(spark, monkeypatch, bound):
+    """A phrase that most texts share, and one large class of versions: all pairs of a brute force, with lists of a few texts at most."""
+    rng = random.Random(9)
+    words = lambda n, tag: [f"{tag}{rng.randrange(5000)}" for _ in range(n)]
+    phrase, base = words(22, "p"), words(60, "b")
+    rows = [("a", f"v{k:03d}", " ".join(edited(rng, base, 2))) for k in range(30)]
+    for k in range(40):
+        own = words(34, "w")
+        rows += [("a", f"f{k:03d}", " ".join(phrase + own)), ("a", f"g{k:03d}", " ".join(edited(rng, phrase + own, 2)))]
+    monkeypatch.setattr(N, "LIST_ROWS", bound)
+    monkeypatch.setattr(N, "COPIES", 8)
+    monkeypatch.setattr(N, "TARGET", 2)
+    members, links = N.similar_pairs(spark.createDataFrame(rows, "tbl string, id string, text string"), 0.6, 3, 30)
+    assert {(r.tbl, r.id_a, r.id_b) for r in N.expand(members, links).collect()} == brute(rows, 0.6, 3, 30)
 
 
-def test_long_lists_are_joined(spark):
-    lists = spark.createDataFrame([(7, k) for k in range(50)] + [(8, 1), (8, 2), (9, 3)], "key long, doc long")
-    old, N.LIST_ROWS = N.LIST_ROWS, 20
+def test_lists_are_paired_across_batches(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        assert N.list_pairs(lists).count() == 50 * 49 // 2
+        lists = spark.createDataFrame([(7, k) for k in range(50)] + [(8, 1), (8, 2), (8, 2), (9, 3)], "key long, doc long")
+        got = [(r.a, r.b, r.met) for r in N.met_in(lists).groupBy("a", "b").agg(F.sum("met").alias("met")).collect()]
     finally:
-        N.LIST_ROWS = old
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted((a, b, 2 if (a, b) == (1, 2) else 1) for a in range(50) for b in range(a + 1, 50))
+
+
+def test_table_of_frequencies(spark):
+    sketches = [N.pack(np.array([1 << 40, 2 << 40, k << 41], dtype=np.uint64)) for k in range(5, 25)]
+    df = spark.createDataFrame([(3, bytearray(s)) for s in sketches], "salt long, sketch binary").repartition(3)
+    table = N.frequencies(df)
+    at = N.counter_of(N.unpack(sketches[0]), np.array([3, 3, 3], dtype=np.uint64))
+    assert table.sum() == 60 and table[at].tolist() == [20, 20, 1]
 
 
 def test_estimate():
@@ -154,3 +195,6 @@ def test_queries(spark, sf):
     rows = [(r.tbl, r.id, r.text) for r in N.rag_and_cache_texts(spark, sf).distinct().collect()]
     assert {(r.id_a, r.id_b) for r in found} == {(a, b) for _, a, b in brute(rows, 0.6, 3, 30)}
     assert N.p6_groups(spark, sf).count() > 0
+    members = N.p6_members(spark, sf).collect()
+    assert {r.id for r in members} == {i for _, i, x in rows if x and len(WORD.findall(x.lower())) >= 30}
+    assert sum(r.copies > 1 for r in members) == len({x for r in found for x in r if shingle_set(dict((i, t) for _, i, t in rows)[x], 3) in same(rows)})
