@@ -3,9 +3,12 @@
 A bounded sample is bisected until its cells are small, so dense regions get more lists
 and all lists are of like length; cell means are the centroids. Every vector searches the
 centroids through a neighbour graph held in memory, joins the list of its nearest centroid
-and, near a boundary, of others (replicas), and is compared with the lists whose centroid
-is within a distance ratio of the nearest. Every vector is indexed and every vector is a
-query; the sample only places the centroids.
+and, near a boundary, the next one's too (replicas), and is compared with the lists whose
+centroid is within a distance ratio of the nearest. Every vector is indexed and every vector
+is a query; the sample only places the centroids.
+
+Lists stay short however many rows there are: cells are as many as the rows need, and where
+the sample is too small for that, the rows of each cell are bisected again in the same way.
 
 Equal vectors are compared once: a group of copies sends one representative to the lists
 and its members are put back by id, so a vector that a third of all rows carry costs no
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import write_once
 from millrace.session import load
 
-#: Vectors that place the centroids, at most, per table.
-SAMPLE = 32_768
+#: Vectors that place the centroids, at most, per table, and within a cell that is split again.
+SAMPLE, SUB_SAMPLE = 32_768, 8192
 #: Wanted vectors of a list, and sample vectors that a cell must have.
-LIST, CELL = 128, 8
-#: Replicas and probes of a vector, at most, and the distance ratios that prune them.
-REPLICAS, REPLICA_RATIO = 4, 1.15
-PROBES, PROBE_RATIO = 5, 1.35
+LIST, CELL = 1024, 8
+#: Lists that a vector joins and searches, at most, and the distance ratios that prune them.
+REPLICAS, REPLICA_RATIO = 2, 1.15
+PROBES, PROBE_RATIO = 3, 1.35
 #: Neighbours of a centroid in the graph, beam width, nodes expanded at once.
 DEGREE, BEAM, EXPAND = 24, 24, 4
 
@@ -155,31 +158,19 @@ class Index:
         return ids, distance
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, role) per row: role 1 the row's list, 2 a list to search, 3 both, 0 none."""
+        """(ids, role) per row: role 1 a list the row joins, 2 a list to search, 3 both, 0 none."""
         ids, distance = self.search(x)
         role = np.zeros(ids.shape, dtype=np.int8)
-        live = ids >= 0
-        within = live & (distance <= distance[:, :1] * PROBE_RATIO)
-        within[:, PROBES:] = False
-        role[within] |= 2
-        chosen = np.full((len(x), REPLICAS), -1)
-        chosen[:, 0] = ids[:, 0]
-        count = np.ones(len(x), dtype=int)
-        role[:, 0] |= 1
-        for k in range(1, min(ids.shape[1], 2 * REPLICAS)):
-            fits = live[:, k] & (count < REPLICAS) & (distance[:, k] <= distance[:, 0] * REPLICA_RATIO)
-            for j in range(REPLICAS):  # a centroid closer to a chosen one than to the vector adds little
-                have = fits & (j < count)
-                gap = np.sqrt(((self.centroids[ids[have, k]] - self.centroids[chosen[have, j]]) ** 2).sum(axis=1))
-                fits[have] &= gap >= distance[have, k]
-            role[fits, k] |= 1
-            chosen[fits, count[fits]] = ids[fits, k]
-            count[fits] += 1
+        for bit, most, ratio in ((1, REPLICAS, REPLICA_RATIO), (2, PROBES, PROBE_RATIO)):
+            near = (ids >= 0) & (distance <= distance[:, :1] * ratio)
+            near[:, most:] = False
+            near[:, 0] = True
+            role[near] |= bit
         return ids, role
 
 
-def fit(reps: DataFrame, dim: int) -> dict[str, Index]:
-    """An index per table from at most SAMPLE of its vectors, picked by the hash of their id."""
+def fit(reps: DataFrame, dim: int) -> dict[str, tuple[Index, int]]:
+    """Per table an index from at most SAMPLE of its vectors, picked by the hash of their id, and the parts each of its cells needs."""
     sizes = {r.tbl: r.n for r in reps.groupBy("tbl").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for tbl, n in sizes.items():
@@ -189,28 +180,24 @@ def fit(reps: DataFrame, dim: int) -> dict[str, Index]:
     for tbl, n in sizes.items():
         codes = sorted(bytes(r.code) for r in picked if r.tbl == tbl)
         if codes:
-            indexes[tbl] = Index(unpack(codes, dim), math.ceil(n / LIST))
+            index = Index(unpack(codes, dim), math.ceil(n / LIST))
+            parts = n / len(index.centroids) / LIST
+            indexes[tbl] = index, math.ceil(parts) if parts > 2 else 1
     return indexes
 
 
-def neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int = 128) -> DataFrame:
-    """(tbl, id, other, cosine): up to k vectors of the same table most similar to each, of at least `min_cosine`.
-
-    `vectors` has (tbl, id, vec). Vectors that are null, of another length, all zero or hold
-    NaN or infinities take no part; a repeated id counts once; ties go to the smaller id.
-    """
-    spark = vectors.sparkSession
-    codes = packed(vectors, dim)
-    reps = write_once(codes.groupBy("tbl", "code").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")))
-    shared = spark.sparkContext.broadcast(fit(reps, dim))
+def placed_lists(reps: DataFrame, indexes: dict[str, tuple[Index, int]], dim: int) -> DataFrame:
+    """(tbl, list, role, id, code): every vector in the lists it joins and searches."""
+    shared = reps.sparkSession.sparkContext.broadcast(indexes)
+    names, fields = ["tbl", "list", "role", "id", "code"], "tbl string, list int, role tinyint, id string, code binary"
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tables = np.array(batch.column(0).to_pylist())
             for tbl in np.unique(tables):
-                index = shared.value.get(tbl)
-                if index is None:
+                if tbl not in shared.value:
                     continue
+                index, _ = shared.value[tbl]
                 rows = np.flatnonzero(tables == tbl)
                 for a in range(0, len(rows), 512):
                     at = rows[a : a + 512]
@@ -218,9 +205,79 @@ def neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: in
                     ids, role = index.place(unpack(part.column(2).to_pylist(), dim))
                     r, c = np.nonzero(role)
                     out = part.take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays([out.column(0), pa.array(ids[r, c].astype(np.int32)), pa.array(role[r, c]), out.column(1), out.column(2)], names=["tbl", "list", "role", "id", "code"])
+                    yield pa.RecordBatch.from_arrays([out.column(0), pa.array(ids[r, c].astype(np.int32)), pa.array(role[r, c]), out.column(1), out.column(2)], names=names)
+
+    lists = reps.select("tbl", "id", "code").mapInArrow(placed, fields)
+    if all(parts == 1 for _, parts in indexes.values()):
+        return lists
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a cell come in the order of a hash, those that join it first: the first of them place its own centroids."""
+
+        def parted(rows: pa.Table, index: Index | None, parts: int) -> pa.Table:
+            old = rows.column("list").to_numpy()
+            if index is None:
+                return rows.set_column(1, "list", pa.array((old * parts).astype(np.int32)))
+            ids, role = index.place(unpack(rows.column("code").to_pylist(), dim))
+            role &= rows.column("role").to_numpy()[:, None]
+            r, c = np.nonzero(role)
+            out = rows.take(pa.array(r))
+            return out.set_column(1, "list", pa.array((old[r] * parts + ids[r, c]).astype(np.int32))).set_column(2, "role", pa.array(role[r, c]))
+
+        def fitted(held: list[pa.Table], tbl: str) -> tuple[pa.Table, Index | None, int]:
+            rows, parts = pa.concat_tables(held), min(shared.value[tbl][1], SUB_SAMPLE // CELL)
+            joins = rows.filter(pa.array((rows.column("role").to_numpy() & 1) == 1)).column("code").to_pylist()
+            parts = min(parts, max(1, len(joins) // CELL))
+            index = Index(unpack(joins[:SUB_SAMPLE], dim), parts) if parts > 1 else None
+            return rows, index, 4 * SUB_SAMPLE // CELL
+
+        def chunks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for a in range(0, table.num_rows, 512):
+                yield table.slice(a, 512)
+
+        cell, held, index, parts, ready = None, [], None, 1, False
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = list(zip(table.column("tbl").to_pylist(), table.column("list").to_pylist()))
+            starts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                part = table.slice(a, b - a)
+                if keys[a] != cell:
+                    if held:
+                        rows, index, parts = fitted(held, cell[0])
+                        for piece in chunks(rows):
+                            yield from parted(piece, index, parts).combine_chunks().to_batches()
+                    cell, held, ready = keys[a], [], False
+                if ready:
+                    for piece in chunks(part):
+                        yield from parted(piece, index, parts).combine_chunks().to_batches()
+                    continue
+                held.append(part)
+                if sum(x.num_rows for x in held) >= SUB_SAMPLE:
+                    rows, index, parts = fitted(held, cell[0])
+                    held, ready = [], True
+                    for piece in chunks(rows):
+                        yield from parted(piece, index, parts).combine_chunks().to_batches()
+        if held:
+            rows, index, parts = fitted(held, cell[0])
+            for piece in chunks(rows):
+                yield from parted(piece, index, parts).combine_chunks().to_batches()
+
+    # Cells are balanced, so a task per cell is even; a cell streams through and is never held whole.
+    ordered = lists.withColumn("joins", F.col("role").bitwiseAND(F.lit(1).cast("tinyint"))).withColumn("h", F.xxhash64("id"))
+    ordered = ordered.repartition("tbl", "list").sortWithinPartitions("tbl", "list", F.desc("joins"), "h")
+    return ordered.select(*names).mapInArrow(split, fields)
+
+
+def neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int = 128) -> DataFrame:
+    """(tbl, id, other, cosine): up to k vectors of the same table most similar to each, of at least `min_cosine`.
 
-    lists = reps.select("tbl", "id", "code").mapInArrow(placed, "tbl string, list int, role tinyint, id string, code binary")
+    `vectors` has (tbl, id, vec). Vectors that are null, of another length, all zero or hold
+    NaN or infinities take no part; a repeated id counts once; ties go to the smaller id.
+    """
+    codes = packed(vectors, dim)
+    reps = write_once(codes.groupBy("tbl", "code").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")))
+    lists = placed_lists(reps, fit(reps, dim), dim)
 
     def compared(table: pa.Table) -> pa.Table:
         role = table.column("role").to_numpy()
@@ -234,12 +291,13 @@ def neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: in
             own = asks[a : a + 1024]
             score = x[own] @ x[data].T
             score[own[:, None] == data[None, :]] = -np.inf
+            fine = (score >= min_cosine) & np.isfinite(score)
+            many = np.flatnonzero(fine.sum(axis=1) > k)
             # Ties at the k-th place are all kept here; the last step orders them by id.
-            if len(data) > k:
-                edge = np.partition(score, len(data) - k, axis=1)[:, len(data) - k][:, None]
-            else:
-                edge = np.full((len(own), 1), -np.inf, dtype=np.float32)
-            q, d = np.nonzero((score >= edge) & (score >= min_cosine) & np.isfinite(score))
+            if len(many):
+                edge = np.partition(score[many], len(data) - k, axis=1)[:, len(data) - k][:, None]
+                fine[many] &= score[many] >= edge
+            q, d = np.nonzero(fine)
             if len(q) > (k + 16) * len(own):  # many ties: the first k in id order are enough
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 q, d = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import neighbours as N
 
@@ -72,6 +73,62 @@ def test_dirt_copies_and_ties(spark):
     assert not {"n2", None} & got.keys() and not any(i.startswith("b") for i in got)
 
 
+def test_boundary_vectors_join_two_lists():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, role = N.Index(x, 20).place(x)
+    joined = (role & 1).sum(axis=1)
+    assert set(joined) == {1, 2} and 1.2 < joined.mean() and ((role & 2) > 0).sum(axis=1).max() == N.PROBES
+
+
+def test_lists_stay_short_as_rows_grow(spark, monkeypatch):
+    """The sample allows 32 cells: with more rows than they can hold the cells are split, and neither the lists grow nor the recall falls."""
+    monkeypatch.setattr(N, "SAMPLE", 256)
+    monkeypatch.setattr(N, "SUB_SAMPLE", 512)
+    monkeypatch.setattr(N, "LIST", 40)
+    means = []
+    for n in (1000, 4000, 16_000):
+        rng = np.random.default_rng(7)
+        x = clustered(rng, n // 20, 20)
+        ids = [f"v{k:05d}" for k in range(n)]
+        df = spark.createDataFrame([("t", i, v.tolist()) for i, v in zip(ids, x)], "tbl string, id string, vec array<double>")
+        reps = N.packed(df, DIM)
+        joined = [r.rows for r in N.placed_lists(reps, N.fit(reps, DIM), DIM).filter("role & 1 > 0").groupBy("list").agg(F.count("*").alias("rows")).collect()]
+        means.append(np.mean(joined))
+        assert max(joined) < 12 * N.LIST
+        got = rows_of(N.neighbours(df, 5, dim=DIM))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        hit = 0
+        for k in range(0, n, n // 500):
+            s = unit @ unit[k]
+            s[k] = -9
+            hit += len({ids[j] for j in np.argsort(-s)[:5]} & {o for o, _ in got[ids[k]]}) / 5
+        assert hit / len(range(0, n, n // 500)) > 0.9
+    assert max(means) < 3 * min(means)
+
+
+def test_recall_of_the_five_nearest_at_any_cosine(spark):
+    """p4_neighbours on whole tables against brute force: 0.95 and more of the five nearest, also of those below a cosine of 0.8."""
+    sf = "/root/testdata/sf0.1"
+    got = {}
+    for r in N.p4_neighbours(spark, sf).collect():
+        got.setdefault((r.tbl, r.id), set()).add(r.other)
+    for tbl, rows in N.chunk_and_cache_vectors(spark, sf).dropDuplicates(["tbl", "id"]).toPandas().groupby("tbl"):
+        rows = rows[rows.vec.map(lambda v: v is not None and len(v) == 128 and np.isfinite(np.array(v, float)).all() and np.any(v))]
+        ids, x = rows.id.to_numpy(), np.stack([np.array(v, float) for v in rows.vec])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        found = low_found = low = 0
+        asks = range(0, len(ids), 5)
+        for k in asks:
+            s = x @ x[k]
+            s[k] = -9
+            hits = [(s[j], ids[j] in got[tbl, ids[k]] or s[j] > 1 - 1e-9) for j in np.argsort(-s)[:5]]
+            found += sum(h for _, h in hits)
+            low_found, low = low_found + sum(h for c, h in hits if c < 0.8), low + sum(c < 0.8 for c, _ in hits)
+        assert found >= 0.95 * 5 * len(asks) and low_found >= 0.95 * low
+
+
 def test_few_and_no_rows(spark):
     one = spark.createDataFrame([("t", "a", [1.0] * DIM, 0)], SCHEMA)
     assert N.neighbours(one, 5, dim=DIM).count() == 0
