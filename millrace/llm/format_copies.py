@@ -1,13 +1,15 @@
 """Copies that differ only in white space, case, punctuation or field order (problem 5).
 
-Each record gets canonical bytes. Rows are combined per task, the buckets of a radix
-partition on those bytes are split by further bytes until each fits, and every bucket
-is counted in a trie whose terminal nodes hold the number of copies and the smallest id.
+Each record gets canonical bytes. The buckets of a radix partition on these bytes are split
+by further bytes until each fits, those only that don't, and every bucket is counted in a
+trie whose terminal nodes hold the number of copies and the smallest id.
+
+Canonical bytes travel once per task and form, and only to their bucket; ids travel with a
+128-bit digest of the bytes. That a digest stands for one form is checked in the trie.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
@@ -18,17 +20,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import first_per_id, write_once
+from millrace.llm.common import write_once
 from millrace.session import load
 
-#: Combined rows that one bucket may hold before it is split by a further byte.
-BUCKET_ROWS = 20_000
+#: Forms (each counted once a task) and bytes that one bucket may hold before it is split by further bytes.
+BUCKET_ROWS, BUCKET_BYTES = 20_000, 64 << 20
+#: Leading bytes of the first buckets; each split doubles them.
+FIRST_BYTES = 8
 #: Copies of one group that one task may attach to their first member; larger groups are salted.
 GROUP_ROWS = 50_000
+#: Forms a task remembers before it starts afresh.
+MEMO_FORMS = 1_000_000
 
 NOT_ALNUM = re.compile(r"[\W_]+")
 QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "«": '"', "»": '"', "﻿": " ", "​": " "})
-FIELD = re.compile(r"\s*[^\w{}\[\]]*\s*([^\W\d_][\w .\-–]{0,60}?)\s*:(?!//)\s*(.*?)\s*", re.DOTALL)
+FIELD_NAME = re.compile(r"[^\w{}\[\]]*([^\W\d_][\w .\-–]*)")
 
 
 def letters_and_digits(text: str) -> str:
@@ -70,9 +76,9 @@ def _as_fields(text: str) -> Pairs | None:
         parts = [p for p in re.split(split, text) if letters_and_digits(p)]
         if len(parts) < 2:
             continue
-        fields = [FIELD.fullmatch(p) for p in parts]
-        if all(fields):
-            return Pairs((m.group(1), m.group(2)) for m in fields)
+        fields = [(FIELD_NAME.fullmatch(name.rstrip()), mark, value) for name, mark, value in (p.partition(":") for p in parts)]
+        if all(name and mark and not value.startswith("//") for name, mark, value in fields):
+            return Pairs((name.group(1), value) for name, _, value in fields)
     return None
 
 
@@ -86,7 +92,7 @@ def canonical(prompt: str | None, key: str | None = None, model: str | None = No
     else:
         pairs = _as_json(text) or _as_fields(text)
         form = _json_form(pairs) if pairs else letters_and_digits(text)
-    return "\x00".join((kind, "\x01" if model is None else model, form)).encode("utf-8", "surrogatepass")
+    return "\x00".join((form, kind, "\x01" if model is None else model)).encode("utf-8", "surrogatepass")
 
 
 class Trie:
@@ -114,117 +120,141 @@ class Trie:
             node[word[at]] = (label[:n], split := {label[n]: (label[n:], below)})
             node, at = split, at + n
 
-    def terminals(self) -> Iterator[tuple[bytes, int, str]]:
-        stack = [(b"", self.root)]
-        while stack:
-            prefix, node = stack.pop()
-            for first, below in node.items():
-                if first == -1:
-                    yield prefix, below[0], below[1]
-                else:
-                    stack.append((prefix + below[0], below[1]))
-
-
-def _counted(words: list[bytes], ids: list[str], copies: list[int]) -> Iterator[tuple[bytes, int, str]]:
-    trie = Trie()
-    for word, name, n in zip(words, ids, copies):
-        end = trie.add(word)
+
+def counted(forms: list[tuple[bytes, bytes]], parts: list[tuple[bytes, str, int]]) -> list[tuple[bytes, str, int]]:
+    """(digest, smallest id, copies) of the forms (digest, form) of a bucket, from partial counts (digest, smallest id, copies)."""
+    trie, ends = Trie(), {}
+    for digest, form in forms:
+        end = trie.add(form)
+        if ends.setdefault(digest, end) is not end:
+            raise ValueError("two canonical forms have one digest")
+    for digest, name, n in parts:
+        end = ends[digest]
         end[0] += n
         if end[1] is None or name < end[1]:
             end[1] = name
-    return trie.terminals()
+    return [(digest, end[1], end[0]) for digest, end in ends.items() if end[0]]
 
 
-def combined(canon: DataFrame) -> DataFrame:
-    """(form, first_id, copies) combined per Arrow batch: a hot form leaves a batch as one row."""
+def canonical_rows(entries: DataFrame, id_col: str, prompt_col: str, key_col: str, model_col: str) -> DataFrame:
+    """(id, digest, form) of the rows with an id; the form, canonical bytes, only with its first row in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            rows = list(_counted(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [1] * batch.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["form", "first_id", "copies"])
+            digests, forms = [], []
+            for prompt, key, model in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                form = canonical(prompt, key, model)
+                digests.append(xxhash.xxh3_128_digest(form))
+                new = digests[-1] not in seen
+                if new:
+                    if len(seen) >= MEMO_FORMS:
+                        seen.clear()
+                    seen.add(digests[-1])
+                forms.append(form if new else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(forms, pa.binary())], names=["id", "digest", "form"])
 
-    return canon.select("form", "id").mapInArrow(run, "form binary, first_id string, copies bigint")
+    rows = entries.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(key_col).alias("key"), F.col(model_col).alias("model"))
+    return rows.filter("id is not null").mapInArrow(run, "id string, digest binary, form binary")
 
 
-def radix_prefixes(rows: DataFrame, limit: int = BUCKET_ROWS) -> list[bytes]:
-    """Prefixes of forms that hold over `limit` combined rows: their rows are split by one more byte.
+def radix_prefixes(canon: DataFrame, rows: int | None = None, size: int | None = None) -> set[bytes]:
+    """Prefixes whose forms are over BUCKET_ROWS or BUCKET_BYTES and go on behind them: these are split by as many bytes more.
 
-    One aggregation a byte. A prefix all of whose rows are one form isn't split further;
-    after combining, such rows are at most one per batch. Only heavy prefixes, at most
-    rows / limit of them, come to the driver.
+    A round counts the forms of the prefixes that the round before found too large, so only
+    they are read; after log2(longest form / FIRST_BYTES) rounds at most nothing is left to
+    split. At most forms / BUCKET_ROWS prefixes of a round come to the driver.
     """
-    found: list[bytes] = []
-    depth = 1
+    rows, size = rows or BUCKET_ROWS, size or BUCKET_BYTES
+    spark = canon.sparkSession
+    left, depth, found = canon.filter("form is not null").select("form"), FIRST_BYTES, set()
     while True:
-        sizes = rows.groupBy(F.substring("form", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("form").alias("low"), F.max("form").alias("high"))
-        heavy = [bytes(r.prefix) for r in sizes.filter((F.col("n") > limit) & (F.col("low") != F.col("high"))).select("prefix").collect()]
+        prefix = F.expr(f"substring(form, 1, {depth})").alias("prefix")
+        sizes = left.groupBy(prefix).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("form").cast("long")).alias("bytes"), F.max(F.length("form")).alias("longest"))
+        heavy = [bytes(r.prefix) for r in sizes.filter((F.col("longest") > depth) & (F.col("n") > 1) & ((F.col("n") > rows) | (F.col("bytes") > size))).select("prefix").collect()]
         if not heavy:
             return found
-        found += heavy
-        depth += 1
+        found.update(heavy)
+        chosen = spark.createDataFrame([(bytearray(p),) for p in heavy], "prefix binary")
+        left = left.join(chosen, F.expr(f"substring(form, 1, {depth})") == F.col("prefix"), "left_semi")
+        depth *= 2
+
 
+def bucket(form: bytes, heavy: set[bytes]) -> int:
+    """The bucket of a form: the hash of as many leading bytes as its radix path has."""
+    depth = FIRST_BYTES
+    while form[:depth] in heavy and len(form) > depth:
+        depth *= 2
+    return xxhash.xxh3_64_intdigest(form[:depth], depth) - (1 << 63)
 
-def count_copies(rows: DataFrame, limit: int = BUCKET_ROWS) -> DataFrame:
-    """(form, first_id, copies): one row per distinct form, counted in per-bucket tries."""
-    prefixes = rows.sparkSession.sparkContext.broadcast(frozenset(radix_prefixes(rows, limit)))
+
+def count_copies(canon: DataFrame, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, counts) of written `canonical_rows`: members has (id, digest) of each id once, counts (digest, first_id, copies) of each form."""
+    shared = canon.sparkSession.sparkContext.broadcast(radix_prefixes(canon, rows))
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = prefixes.value
-        depths = sorted({len(p) for p in heavy}, reverse=True)
+        at: dict[bytes, int] = {}  # a form stands before the rows of its task that lack it
         for batch in batches:
             names = []
-            for form in batch.column(0).to_pylist():
-                cut = next((d + 1 for d in depths if form[:d] in heavy), 1)
-                names.append(form[:cut] if len(form) >= cut else form)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], names=["form", "first_id", "copies", "bucket"])
-
-    def counted(table: pa.Table) -> pa.Table:
-        out = list(_counted(table.column("form").to_pylist(), table.column("first_id").to_pylist(), table.column("copies").to_pylist()))
-        return pa.table({"form": pa.array([r[0] for r in out], pa.binary()), "first_id": pa.array([r[2] for r in out], pa.string()), "copies": pa.array([r[1] for r in out], pa.int64())})
-
-    parts = rows.mapInArrow(bucketed, "form binary, first_id string, copies bigint, bucket binary")
-    return parts.groupBy("bucket").applyInArrow(counted, "form binary, first_id string, copies bigint")
-
-
-def canonical_rows(entries: DataFrame, id_col: str, prompt_col: str, key_col: str, model_col: str) -> DataFrame:
-    """(form, id) of each id once.
-
-    The form is the canonical bytes (their SHA-256 if over 512) behind 8 bytes of their
-    hash: the leading radix digits are then evenly spread whatever the texts begin with.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for digest, form in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if form is not None:
+                    if len(at) >= MEMO_FORMS:
+                        at.clear()
+                    at[digest] = bucket(form, shared.value)
+                names.append(at[digest])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=["id", "digest", "form", "bucket"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per batch one row a form: a hot form is counted before it is shuffled."""
         for batch in batches:
-            forms = [canonical(p, k, m) for p, k, m in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
-            forms = [xxhash.xxh3_64_digest(f) + (f if len(f) <= 512 else hashlib.sha256(f).digest()) for f in forms]
-            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.binary()), batch.column(0)], names=["form", "id"])
-
-    rows = entries.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(key_col).alias("key"), F.col(model_col).alias("model"))
-    return first_per_id(rows, "id").mapInArrow(run, "form binary, id string")
-
-
-def attach(canon: DataFrame, counts: DataFrame) -> DataFrame:
+            parts: dict[bytes, list] = {}
+            for name, digest, number in zip(*(c.to_pylist() for c in batch.columns)):
+                own = parts.setdefault(digest, [number, name, 0])
+                own[2] += 1
+                if name < own[1]:
+                    own[1] = name
+            columns = [pa.array([p[0] for p in parts.values()], pa.int64()), pa.array(parts, pa.binary()), pa.nulls(len(parts), pa.binary()), pa.array([p[1] for p in parts.values()], pa.string()), pa.array([p[2] for p in parts.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "digest", "form", "first_id", "copies"])
+
+    def tried(table: pa.Table) -> pa.Table:
+        forms, parts = [], []
+        for digest, form, name, n in zip(*(table.column(c).to_pylist() for c in ("digest", "form", "first_id", "copies"))):
+            if form is None:
+                parts.append((digest, name, n))
+            else:
+                forms.append((digest, form))
+        out = counted(forms, parts)
+        return pa.table({"digest": pa.array([r[0] for r in out], pa.binary()), "first_id": pa.array([r[1] for r in out], pa.string()), "copies": pa.array([r[2] for r in out], pa.int64())})
+
+    placed = canon.mapInArrow(bucketed, "id string, digest binary, form binary, bucket bigint")
+    members = write_once(placed.select("id", "digest", "bucket").distinct())
+    forms = placed.filter("form is not null").select("bucket", "digest", "form", F.lit(None).cast("string").alias("first_id"), F.lit(0).cast("long").alias("copies"))
+    parts = members.mapInArrow(combined, "bucket bigint, digest binary, form binary, first_id string, copies bigint")
+    counts = forms.unionByName(parts).groupBy("bucket").applyInArrow(tried, "digest binary, first_id string, copies bigint")
+    return members.select("id", "digest"), write_once(counts)
+
+
+def attach(members: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, first_id, copies) of the members of groups of two and more; groups over GROUP_ROWS are salted on both sides."""
-    groups = counts.filter("copies > 1").select(F.xxhash64("form").alias("h"), "form", "first_id", "copies")
-    groups = groups.withColumn("salts", F.ceil(F.col("copies") / GROUP_ROWS).cast("int"))
+    groups = counts.filter("copies > 1").withColumn("salts", F.ceil(F.col("copies") / GROUP_ROWS).cast("int"))
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    hot = counts.filter(F.col("copies") > GROUP_ROWS).select(F.col("form").alias("hot_form"), F.ceil(F.col("copies") / GROUP_ROWS).cast("int").alias("hot_salts"))
     # At most rows / GROUP_ROWS hot groups; the planner decides by their size whether to broadcast.
-    members = canon.join(hot, canon.form == hot.hot_form, "left")
-    members = members.select("id", F.col("form").alias("m_form"), F.xxhash64("form").alias("m_h"), F.pmod(F.xxhash64("id"), F.coalesce("hot_salts", F.lit(1))).cast("int").alias("m_salt"))
-    return members.join(groups, (F.col("m_h") == F.col("h")) & (F.col("m_salt") == F.col("salt")) & (F.col("m_form") == F.col("form"))).select("id", "first_id", "copies")
+    hot = counts.filter(F.col("copies") > GROUP_ROWS).select("digest", F.ceil(F.col("copies") / GROUP_ROWS).cast("int").alias("hot_salts"))
+    if not hot.isEmpty():
+        members = members.join(hot, "digest", "left").select("id", "digest", F.pmod(F.xxhash64("id"), F.coalesce("hot_salts", F.lit(1))).cast("int").alias("salt"))
+    else:
+        members = members.withColumn("salt", F.lit(0))
+    return members.join(groups, ["digest", "salt"]).select("id", "first_id", "copies")
 
 
 def cache_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entries = load(spark, sf_dir, "cache_entries", ["entry_id", "prompt", "key", "model"])
-    canon = write_once(canonical_rows(entries, "entry_id", "prompt", "key", "model"))
-    return canon, write_once(count_copies(combined(canon)))
+    return count_copies(write_once(canonical_rows(entries, "entry_id", "prompt", "key", "model")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_a, id_b): id_b is a copy of id_a, the smallest entry_id of its group."""
-    canon, counts = cache_copies(spark, sf_dir)
-    return attach(canon, counts).filter("id <> first_id").select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
+    return attach(*cache_copies(spark, sf_dir)).filter("id <> first_id").select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
 
 
 def p5_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

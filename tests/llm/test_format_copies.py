@@ -50,7 +50,19 @@ def test_trie_counts_like_a_dictionary():
     want: dict = {}
     for w in words:
         want[w] = want.get(w, 0) + 1
-    assert {w: n for w, n, _ in C._counted(words, ["x"] * 500, [1] * 500)} == want
+    got = C.counted([(b"#" + w, w) for w in words], [(b"#" + w, f"x{k:03d}", 1) for k, w in enumerate(words)])
+    assert {d[1:]: n for d, _, n in got} == want and {d[1:]: i for d, i, _ in got} == {w: f"x{words.index(w):03d}" for w in want}
+
+
+def test_one_digest_of_two_forms_is_noticed():
+    with pytest.raises(ValueError):
+        C.counted([(b"#", b"a"), (b"#", b"b")], [])
+
+
+def test_long_field_names_are_fields():
+    name = "the name of a field that goes on " * 20
+    assert same(f"{name}: 1\nb: 2", f"B: 2; {name.upper()}:1") and not same(f"{name}: 1\nb: 2", f"{name}: 2\nb: 1")
+    assert not same("a" + " " * 100_000 + "\nb: 2", "b: 2\na")
 
 
 SCHEMA = "entry_id string, prompt string, key string, model string, form int"
@@ -65,15 +77,30 @@ def test_hot_group_small_buckets_and_dirt(spark):
     canon = C.canonical_rows(df, "entry_id", "prompt", "key", "model").cache()
     old, C.GROUP_ROWS = C.GROUP_ROWS, 40
     try:
-        counts = C.count_copies(C.combined(canon), limit=2).cache()
-        pairs = {(r.id, r.first_id, r.copies) for r in C.attach(canon, counts).collect()}
+        members, counts = C.count_copies(canon, rows=2)
+        pairs = {(r.id, r.first_id, r.copies) for r in C.attach(members, counts).collect()}
     finally:
         C.GROUP_ROWS = old
     assert pairs == {(f"h{i:04d}", "h0000", 300) for i in range(300)} | {("e2", "e2", 2), ("e3", "e2", 2)}
-    assert counts.count() == 603
-    assert C.radix_prefixes(C.combined(canon), 2)
-    empty = C.canonical_rows(df.limit(0), "entry_id", "prompt", "key", "model")
-    assert C.count_copies(C.combined(empty)).count() == 0
+    assert counts.count() == 603 and members.count() == 903
+    empty = C.canonical_rows(df.limit(0), "entry_id", "prompt", "key", "model").cache()
+    assert C.count_copies(empty)[1].count() == 0
+
+
+def test_only_large_buckets_are_split(spark):
+    """Buckets are leading canonical bytes; those that hold too many forms, or bytes, are split until they fit or are one form."""
+    texts = [f"the same beginning of many prompts {k:04d}" for k in range(200)] + [f"{k:08d} other" for k in range(50)] + ["x" * 3000, "x" * 3001]
+    df = spark.createDataFrame([(f"e{k:04d}", t, None, "m", 1) for k, t in enumerate(texts)], SCHEMA)
+    canon = C.canonical_rows(df, "entry_id", "prompt", "key", "model").cache()
+    heavy = C.radix_prefixes(canon, rows=20)
+    long = b"thesamebeginningofmanyprompts"
+    assert {long[:8], long[:16]} <= heavy and all(p.startswith(long[:8]) for p in heavy)
+    sizes: dict = {}
+    for t in texts:
+        at = C.bucket(C.canonical(t, None, "m"), heavy)
+        sizes[at] = sizes.get(at, 0) + 1
+    assert max(sizes.values()) <= 20 and C.bucket(b"ab", heavy) != C.bucket(b"abc", heavy)
+    assert b"x" * 2048 in C.radix_prefixes(canon, rows=20, size=5000)
 
 
 def test_query_against_brute_force(spark, sf):
