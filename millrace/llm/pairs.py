@@ -20,6 +20,10 @@ from millrace.llm.common import write_once
 from millrace.llm.endings import WITHHELD, Asked, at_limit, evidence, is_cut, llm_calls, unknown_items
 
 ALNUM = re.compile(r"[\W_]+")
+#: The characters of cp1252 that are neither letters nor digits.
+NOT_ALNUM = bytes(k for k in range(256) if not bytes([k]).decode("cp1252", "replace").isalnum())
+#: Letters that a copied run must have, at most.
+RUN = 12
 #: Markup; in angles, what is longer than 200 characters must look like a tag with attributes or a comment.
 TAG = re.compile(r"<[^<>]{0,200}>|</?[A-Za-z][\w:-]*\s[^<>=]*=[^<>]*>|<![^<>]*>|```\w*|&nbsp;")
 #: Words that stand for no value.
@@ -28,11 +32,15 @@ NO_VALUE = frozenset({"null", "none", "nil", "na", "nan", "nul", "undefined", "v
 #: Phrases of a refusal, per language, as letters and digits in lower case split by single blanks.
 REFUSALS = """
 i can t help with|i cannot help with|i can not help with|i can t assist|i cannot assist|i can t provide|i cannot provide|i can t answer|i cannot answer|i can t do that|i cannot do that|i can t comply|i cannot comply|something i cannot comply with|can t share|can not share details|cannot share details
+i can t discuss|i cannot discuss|i can t write|i cannot write|i can t continue with|i can t fulfill|i cannot fulfill|i can t support this|i can t give you|i cannot give you|i can t in good conscience|i won t provide|i won t help|i won t write|i won t answer|i will not provide|i will not help|i will not write|no can do|count me out|can t be of help|cannot be of help|can t be of assistance|i d have to say no|i have to say no|the answer is no i
 i won t be able to|i will not be able to|i m not able to|i am not able to|i m unable to|i am unable to|unable to assist|unable to help|unable to comply
 i must decline|i have to decline|i decline to|i have to refuse|i must refuse|i refuse to|has been declined|request is declined|was declined|i d rather not|i would rather not|i prefer not to|i prefer to leave this unanswered|leave this unanswered
 going to pass on this|i will pass on this|my guidelines|rules i follow|beyond what i may|outside of what i am permitted|not permitted to|not allowed to|i don t feel comfortable|i do not feel comfortable|no answer can be given|not something i will write|not something i can|talk about something else|need another way to get this|against my guidelines|i lack access to|lack the permission
+kann ich leider nicht|kann ich dir nicht|kann ich ihnen nicht|kann dazu nichts sagen|kann ich nichts sagen|ich werde das nicht|verweigere ich|ich verweigere|ich muss passen|da muss ich passen|das geht leider nicht|nicht weiterhelfen|nicht behilflich sein|kann ich nicht erfüllen|nicht nachkommen
 kann ich nicht helfen|ich kann nicht helfen|kann dabei nicht helfen|kann ihnen nicht|kann dir nicht|muss ich ablehnen|ich muss ablehnen|lehne ich ab|ich lehne ab|nur eine absage|eine antwort nicht möglich|keine auskunft geben|darf ich nicht|darf ich keine|möchte ich mich nicht äußern|nichts dazu schreiben|nicht beantworten|nicht erlaubt|bin nicht befugt
+je ne saurais|je ne veux pas répondre|je ne répondrai pas|je ne pourrai pas|je suis dans l incapacité|je suis incapable de|je regrette mais je ne peux|je décline|refuse de répondre|ne puis répondre|impossible de vous aider|impossible de répondre à cette|ne donnerai pas
 je ne peux pas vous aider|je ne peux pas répondre|je ne peux pas fournir|je ne peux pas|je ne suis pas autorisé|je ne suis pas en mesure|je dois refuser|je refuse de|il m est impossible|préfère ne pas en parler|je préfère ne pas|aucune réponse ne sera donnée|dépasse ce qui m est permis|ce n est pas possible pour moi
+no puedo ayudarte|no puedo ayudarle|no puedo hacer eso|no puedo hacerlo|no puedo cumplir|no puedo atender|no puedo compartir|no puedo escribir|no voy a responder|no voy a ayudar|no te puedo|no le puedo|tengo que negarme|tengo que rechazar|declino|rechazo esta|no soy capaz de ayudar|no podré ayudar|no responderé|lo tengo que dejar sin respuesta
 no puedo ayudar|no puedo responder|no puedo proporcionar|no puedo dar|no estoy autorizado|no estoy autorizada|no me es posible|debo rechazar|me niego a|me resulta imposible|prefiero no hablar|prefiero no responder|no habrá respuesta|fuera de lo que se me permite|no se me permite
 """.strip()
 #: Phrases of a sentence that only comes along with a refusal (regret, grounds, another contact).
@@ -121,6 +129,15 @@ def _start(sentence: str) -> int:
     return found.end() if found else 0
 
 
+def letters(text: str) -> str:
+    """Letters and digits of a text, without case."""
+    folded = text.casefold()
+    try:
+        return folded.encode("cp1252").translate(None, NOT_ALNUM).decode("cp1252")
+    except UnicodeEncodeError:
+        return ALNUM.sub("", folded)
+
+
 class SuffixAutomaton:
     """All substrings of a text; built in one pass."""
 
@@ -169,7 +186,7 @@ class SuffixAutomaton:
         return out
 
 
-def covered(prompt: str, response: str, least: int = 12) -> tuple[int, int, int]:
+def covered(prompt: str, response: str, least: int = RUN) -> tuple[int, int, int]:
     """(not copied after the first copied run, not copied before it, length) of the response, in letters and digits."""
     stats = SuffixAutomaton(prompt).statistics(response)
     n, ends = len(response), 0
@@ -191,22 +208,24 @@ def asks_to_repeat(prompt: str, words: list[str]) -> bool:
 
 
 def is_copy(prompt: str, response: str) -> bool:
-    """The response gives back the prompt, or a part of it, and adds no more than a heading of 30 letters."""
-    words, heard = response.lower().split(), set(prompt.lower().split())
-    if asks_to_repeat(prompt, list(heard)):
-        return False
-    # Half the words of a copy are the prompt's as they stand; other responses don't come to the automaton.
-    if len(words) >= 4 and sum(map(heard.__contains__, words)) < 0.5 * len(words) - 2:
+    """The response gives back the prompt, or a part of it, and adds no more than a heading of 30 letters.
+
+    Of fewer than four words (text without blanks, a name picked from the prompt) it must give
+    back half of the prompt. The automaton is built for every response that it can find to be a
+    copy: the first copied run starts within the heading, so its first RUN letters are looked
+    for at each of those places.
+    """
+    p, r = letters(prompt), letters(response)
+    n = len(r)
+    if n < 8 or not p or (len(response.split()) < 4 and 2 * n < len(p)):
         return False
-    p, r = ALNUM.sub("", prompt.casefold()), ALNUM.sub("", response.casefold())
-    if len(r) < 8 or not p:
+    least, heading = min(RUN, n), min(30, n // 2)
+    if not any(r[at : at + least] in p for at in range(min(heading, n - least) + 1)):
         return False
-    if p == r:
-        return True
-    if len(words) < 4:
+    if asks_to_repeat(prompt, prompt.lower().split()):
         return False
-    after, before, n = covered(p, r)
-    return before <= min(30, n // 2) and after <= max(2, 0.03 * n)
+    after, before, n = covered(p, r, least)
+    return before <= heading and after <= max(2, 0.03 * n)
 
 
 def votes(text: str) -> dict[str, float]:

@@ -69,6 +69,61 @@ def test_copy(text, copied):
     assert P.is_copy(PROMPT, text) is copied
 
 
+@pytest.mark.parametrize(
+    "prompt, text",
+    [
+        ("顧客テーブルの行が毎晩二重に書き込まれるのはなぜですか。理由を説明してください。", "顧客テーブルの行が毎晩二重に書き込まれるのはなぜですか。"),
+        (PROMPT, PROMPT.replace(" ", "/")), (PROMPT, PROMPT.replace(" ", "_")), (PROMPT, " - ".join(PROMPT.split())), (PROMPT, ";".join(PROMPT.split()[10:])),
+        (PROMPT, "".join(PROMPT.split())), ("Why so slow?", "Why so slow?"), ("Was heißt „späte Karte“ — œuvre?", "WAS HEISST SPÄTE KARTE ŒUVRE"),
+    ],
+)
+def test_copies_in_another_dress_come_to_the_automaton(prompt, text):
+    assert P.is_copy(prompt, text)
+
+
+@pytest.mark.parametrize("text", ["late_map/route_id/nightly/export", "route_id unique", "The nightly export"])
+def test_names_picked_from_the_prompt_are_answers(text):
+    assert not P.is_copy(PROMPT, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(), st.sampled_from(["cache é ß œ’“–_ 1²", "ſ ŉ İ", "", "żółć", "日本"]))
+def test_letters_are_letters_and_digits(text, more):
+    assert P.letters(text + more) == P.ALNUM.sub("", (text + more).casefold())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6))
+def test_no_copy_is_kept_from_the_automaton(seed):
+    """What `covered` finds to be a copy is_copy finds too, for random pairs of a small alphabet."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    prompt = word(60)
+    response = word(rng.randrange(12)) + prompt[rng.randrange(20) :] + prompt[: rng.randrange(30)] + word(rng.randrange(4))
+    p, r = P.letters(prompt), P.letters(response)
+    if len(r) >= 8 and p and not (len(response.split()) < 4 and 2 * len(r) < len(p)):
+        after, before, n = P.covered(p, r, min(12, len(r)))
+        assert P.is_copy(prompt, response) is (before <= min(30, n // 2) and after <= max(2, 0.03 * n))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I won't help with this one.", "No can do, I'm afraid. I won't provide that.", "I cannot discuss the contents of that table.", "Sorry, I can't be of assistance here.", "I cannot fulfill this request.",
+        "Das kann ich leider nicht beantworten.", "Dazu kann ich nichts sagen.", "Ich verweigere die Auskunft.", "Dieser Bitte kann ich nicht nachkommen.", "Hier kann ich nicht weiterhelfen.",
+        "Je ne saurais répondre à cette demande.", "Je regrette, mais je ne répondrai pas à cela.", "Je décline cette demande.", "Désolé, je suis incapable de fournir ces données.",
+        "No voy a responder a eso.", "Lo siento, no puedo cumplir con esa petición.", "Tengo que negarme.", "No puedo compartir esos datos.",
+    ],
+)
+def test_refusals_in_other_words(text):
+    assert P.defect("Why is the table slow?", text, False) == "refusal"
+
+
+@pytest.mark.parametrize("text", ["No voy a negar que es lento: la tabla no tiene índice.", "Je ne vais pas plus loin que trois fichiers : le cache en lit un.", "Ich kann keine Dubletten sehen, der Schlüssel ist eindeutig. Die Abfrage liest eine Datei.", "I can't find null rows. The column is complete."])
+def test_answers_that_begin_like_refusals(text):
+    assert not P.is_refusal(text)
+
+
 def test_repeating_on_request_is_sound():
     assert P.defect("Repeat exactly this line and nothing else:\nThe cache reads one file per hour.", "The cache reads one file per hour.", False) is None
 
