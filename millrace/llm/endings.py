@@ -30,7 +30,7 @@ CUT_MARK = re.compile(r"(?:\.\.\.|…)?\s*[\[(<]\s*(?:truncated|cut off|cut|snip
 AND_SO_ON = re.compile(r"(?:and so on|and so forth|etc\.?|und so weiter|usw\.?|et ainsi de suite|y así sucesivamente)\s*(?:…|\.\.\.)$", re.IGNORECASE)
 SENTENCE_END = re.compile(r"""[.!?。！？؟][\s"'”’»›)\]*_`]*$""")
 INNER_END = re.compile(r"""[.!?。！？][”"»')\]]*\s+\S""")
-NUMBER_CUT = re.compile(r"(?:\b(?:version|v\.?|versión|Version)\s+\d+\.|\d\.)$")
+NUMBER_CUT = re.compile(r"\b(?:version|v\.?|versión|Version)\s+\d+\.$")
 BULLET = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])(?:\s+|$)")
 PIECE = re.compile(r"[^\W\d_]+")
 ALNUM = re.compile(r"[\W_]+")

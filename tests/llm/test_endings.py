@@ -20,7 +20,7 @@ ENDS = frozenset({"scheduler", "export", "lookup"})
         ('{"a": 1, "b": [1, 2', False, True), ('{"a": "}"', False, True), ('{"a": "x}"}', True, False), ("[SYSTEM]Use SQL.[/SYSTEM]Find the rows.", False, False),
         ("| a | b |\n|---|---|\n| 1 | 2 |", True, False), ("| a | b |\n|---|---|\n| 1 | 2", False, True), ("| a | b |\n|---|---|\n| 1 |", False, True),
         ("Result:\n- the scheduler\n- the nightly export", False, False), ("Result:\n- the scheduler\n- the night", False, True), ("Result:\n1. the scheduler\n2.", False, True), ("Result:\n- the nightly export", True, True),
-        ("Since the last run version 8.", True, True), ("He said “all rows are read.”", False, False),
+        ("Since the last run version 8.", True, True), ("The rows are closed. Run 4835.", True, False), ("Keep the last 12.", True, False), ("He said “all rows are read.”", False, False),
     ],
 )
 def test_is_cut(text, limit, cut):
