@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, write_once
+from millrace.llm.common import COUNTERS, components, count_table, write_once
 from millrace.session import load
 
 WORD = re.compile(r"[^\W_]+")
@@ -49,8 +49,6 @@ TARGET, LONGEST, SURE = 8, 6, 10.0
 LEAST_MET = 2
 #: A list longer than this becomes a corpus of its own, DEPTH times at most.
 LIST_ROWS, DEPTH = 1000, 3
-#: Counters of the table of frequencies, and the slices in which they are summed.
-COUNTERS, SLICES = 1 << 20, 64
 #: Texts of one set (or list) that travel in one array, on average, and parts into which the arrays of a larger one are split for their join.
 COPIES, SALTS = 1000, 16
 #: Bytes of ids up to which they are broadcast to the second reading of the texts.
@@ -183,37 +181,13 @@ def profile(texts: DataFrame, width: int, least_words: int) -> DataFrame:
 
 
 def frequencies(corpora: DataFrame) -> np.ndarray:
-    """How many texts of (salt, sketch) retain the values of each counter.
+    """How many texts of (salt, sketch) retain the values of each counter; values that share one have longer runs than they need, and lose none."""
 
-    One table of COUNTERS numbers a task, summed slice by slice as a stream; the driver gets
-    the sums, 4 MB whatever the corpus. Values that share a counter look more frequent than
-    they are, which makes their runs longer but loses none.
-    """
-    width = COUNTERS // SLICES
+    def counters(batch: pa.RecordBatch) -> np.ndarray:
+        sketches = batch.column(1).to_pylist()
+        return counter_of(unpack(b"".join(sketches)), np.repeat(batch.column(0).to_numpy().view(np.uint64), [len(s) // BYTES for s in sketches]))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(COUNTERS, dtype=np.uint32)
-        for batch in batches:
-            sketches = batch.column(1).to_pylist()
-            salts = np.repeat(batch.column(0).to_numpy().view(np.uint64), [len(s) // BYTES for s in sketches])
-            at, n = np.unique(counter_of(unpack(b"".join(sketches)), salts), return_counts=True)
-            table[at] += n.astype(np.uint32)
-        parts = [(k, pa.compress(table[k * width : (k + 1) * width].tobytes(), codec="zstd", asbytes=True)) for k in range(SLICES) if table[k * width : (k + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["slice", "counts"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = np.frombuffer(pa.decompress(x, 4 * width, codec="zstd", asbytes=True), dtype=np.uint32)
-                sums[k] = sums[k] + counts if k in sums else counts
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    fields = "slice int, counts binary"
-    table = np.zeros(COUNTERS, dtype=np.uint32)
-    for r in corpora.select("salt", "sketch").mapInArrow(counted, fields).repartition("slice").mapInArrow(summed, fields).collect():
-        table[r.slice * width : (r.slice + 1) * width] += np.frombuffer(r.counts, dtype=np.uint32)
-    return table
+    return count_table(corpora, "salt", "sketch", counters=counters)
 
 
 def listed(corpora: DataFrame, t: float) -> DataFrame:

@@ -1,17 +1,23 @@
 """Long exact spans that several documents share (problem 9).
 
-Suffix automata of reference documents tell, for every position of a streamed document, the
-longest stretch ending there that the reference holds too; maximal stretches of `least`
-characters and more are the shared spans. Streaming every document through the automata of
-all others would grow with the square of the corpus, so documents are first routed: of every
-document the winnowed hashes of its GRAM-character pieces are kept, in such a way that any
-run of `least` characters keeps at least one, the same in every document that holds the run.
-Documents meet only where they share such a hash, and automata are built of the stretch
-around the common hashes. Routing loses nothing, since every long enough run has a hash.
-
-A hash that very many documents share (boilerplate shorter than a run) would pair them all, so
-it is refined: every run around it has one of the windows of `least` characters that hold the
-piece, and documents meet where they share such a window, however many they are.
+Suffix automata of shards of reference documents tell, for every position of a streamed
+document, the longest stretch ending there that a reference holds too, and which references
+hold its last `least` characters. Stretches of `least` characters and more that another
+document holds are shared spans; they can be measured or removed.
+
+Streaming every document through the automata of all shards would grow with the square of the
+corpus, so documents are first routed: of every document the winnowed hashes of its pieces of
+`gram(least)` characters are kept, in such a way that any run of `least` characters keeps at
+least one, the same in every document that holds the run. A shard is made of documents with a
+common hash, an automaton is sent to the tasks of the documents that have the hash, and only
+what is near it comes along: windows of `least` characters around the kept pieces. Routing
+loses nothing, since every window has a kept piece.
+
+Hashes that the same documents share are one class, so a passage of many pieces is one. A class
+is cut into shards of SHARD characters, and the documents that stream through a shard into
+parts of STREAMS, so no task grows with the class. A piece that over MEET documents share
+(boilerplate shorter than `least`) would route them all to each other; there documents are
+routed by the whole windows around the piece instead, however many share one.
 """
 
 from __future__ import annotations
@@ -20,28 +26,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import write_once
+from millrace.llm.common import COUNTERS, count_table, write_once
 from millrace.session import load
 
 #: Shortest shared run, in code points.
 LEAST = 200
-#: Characters of a hashed piece (a power of two); a run keeps one of LEAST - GRAM + 1 pieces in a row.
-GRAM = 64
-#: Documents with a common hash up to which all pairs are formed; of more, those with a common window around it.
+#: Documents with a common hash up to which they are routed by it; more are routed by the windows around it.
 MEET = 1000
-#: Parts into which the documents of a window shared by more than MEET are split for their join.
-SALTS = 16
-#: Characters hashed at once.
-CHUNK = 200_000
-#: Candidate documents up to which their ids are broadcast to the second reading of the texts.
-BROADCAST_IDS = 500_000
+#: Characters of the references of one shard, and documents that stream through it in one task.
+SHARD, STREAMS = 32_000, 10_000
+#: Characters of a document whose pieces may belong to one class.
+SEGMENT = 4096
+#: Characters hashed at once, and characters of a reference that enter an automaton in one piece.
+CHUNK, PIECE = 200_000, 8000
+#: Bytes of ids up to which they are broadcast to the second reading of the texts.
+BROADCAST_BYTES = 8 << 20
 FACTOR, MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
-def gram_hashes(codes: np.ndarray, gram: int = GRAM) -> np.ndarray:
+def gram(least: int) -> int:
+    """Characters of a hashed piece: the largest power of two in two thirds of a run."""
+    return 1 << (max(1, 2 * least // 3).bit_length() - 1)
+
+
+def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the piece of `gram` codes (a power of two) that starts at each position, by doubling."""
     h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR)
     h ^= h >> np.uint64(29)
@@ -64,12 +77,13 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def winnowed(texts: list[str], least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def winnowed(texts: list[str], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, position, hash) of the kept pieces of texts that are at least `least` long.
 
-    Of every least - gram + 1 pieces in a row the smallest hash is kept, with all its ties.
+    Of every least - gram(least) + 1 pieces in a row the smallest hash is kept, with all its ties.
     """
-    window = least - gram + 1
+    size = gram(least)
+    window = least - size + 1
     owners = [k for k, t in enumerate(texts) if len(t) >= least]
     if not owners:
         none = np.empty(0, dtype=np.int64)
@@ -77,7 +91,7 @@ def winnowed(texts: list[str], least: int = LEAST, gram: int = GRAM) -> tuple[np
     codes = np.frombuffer("".join(texts[k] for k in owners).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(texts[k]) for k in owners])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    h = gram_hashes(codes, gram)
+    h = gram_hashes(codes, size)
     low = _sliding(h, window, True)
     inside = np.zeros(len(low) + 1, dtype=np.int32)  # windows that lie in one text
     np.add.at(inside, starts, 1)
@@ -91,12 +105,12 @@ def winnowed(texts: list[str], least: int = LEAST, gram: int = GRAM) -> tuple[np
 
 
 def fingerprints(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(hash, doc, low, high): the kept pieces of each document, once each, with their first and last position."""
+    """(doc, hashes, lows, highs) per document, packed: its kept pieces, once each, with their first and last position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
+            at, out = 0, []
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
@@ -109,25 +123,87 @@ def fingerprints(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
                 first = np.flatnonzero(new)
                 last = np.concatenate([first[1:], [len(owner)]]) - 1 if len(first) else first
-                doc = np.array(names[at:to], dtype=np.int64)[owner[first]] if len(first) else np.empty(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(doc), pa.array(place[first].astype(np.int32)), pa.array(place[last].astype(np.int32))], names=["hash", "doc", "low", "high"])
+                own = owner[first] if len(first) else np.empty(0, dtype=np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+                for a, b in zip(cuts, [*cuts[1:], len(own)]):
+                    out.append((names[at + own[a]], hashes[first[a:b]].tobytes(), place[first[a:b]].astype(np.int32).tobytes(), place[last[a:b]].astype(np.int32).tobytes()))
                 at = to
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k else pa.int64()) for k in range(4)], names=["doc", "hashes", "lows", "highs"])
+
+    return docs.filter(F.col("text").isNotNull() & (F.length("text") >= least)).select("doc", "text").mapInArrow(run, "doc bigint, hashes binary, lows binary, highs binary")
+
+
+def routed(prints: DataFrame, table: np.ndarray) -> DataFrame:
+    """(hash, doc, low, high, hot): a row per kept piece; hot where over MEET documents may have it."""
+    shared = prints.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column(1).to_pylist()
+            hashes = np.frombuffer(b"".join(packed), dtype=np.uint64)
+            low, high = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.int32) for k in (2, 3))
+            docs = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in packed])
+            counts = shared.value[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            several = counts > 1  # no other document has the rest
+            columns = [pa.array(hashes.view(np.int64)[several]), pa.array(docs[several]), pa.array(low[several]), pa.array(high[several]), pa.array(counts[several] > MEET)]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc", "low", "high", "hot"])
+
+    return prints.mapInArrow(run, "hash bigint, doc bigint, low int, high int, hot boolean")
 
-    return docs.filter(F.col("text").isNotNull() & (F.length("text") >= least)).select("doc", "text").mapInArrow(run, "hash bigint, doc bigint, low int, high int")
+
+def classes(routes: DataFrame, least: int) -> DataFrame:
+    """(class, doc, start, end): documents with a common hash, hashes of the same documents together, and the stretch of each document that their windows cover.
+
+    A task streams through the hashes; each has at most MEET documents.
+    """
+    size = gram(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def classed(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.concatenate([start, [len(key)]]))
+            several = count > 1
+            names, keep = np.zeros(len(start), dtype=np.uint64), np.repeat(several, count)
+            packed = np.ascontiguousarray(doc).tobytes()
+            for k in np.flatnonzero(several):
+                a = start[k]
+                names[k] = xxhash.xxh3_64_intdigest(packed[8 * a : 8 * (a + count[k])], int(low[a]) // SEGMENT)
+            columns = [pa.array(np.repeat(names, count).view(np.int64)[keep]), pa.array(doc[keep]), pa.array(low[keep]), pa.array(high[keep])]
+            return pa.RecordBatch.from_arrays(columns, names=["class", "doc", "low", "high"])
+
+        held = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last hash may go on
+            if cut:
+                yield classed(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield classed(*held)
+
+    ordered = routes.select("hash", "doc", "low", "high")
+    ordered = ordered.repartition("hash").sortWithinPartitions("hash", "doc")
+    found = ordered.mapInArrow(run, "class bigint, doc bigint, low int, high int").groupBy("class", "doc").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.select("class", "doc", F.greatest(F.lit(0), F.col("low") - (least - size)).alias("start"), (F.col("high") + least).alias("end"))
 
 
 def window_hashes(text: str, least: int = LEAST) -> np.ndarray:
     """Hash of the `least` characters that start at each position: of the two overlapping pieces that cover them."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    gram = 1 << (least.bit_length() - 1)
-    h = gram_hashes(codes, gram)
+    size = 1 << (least.bit_length() - 1)
+    h = gram_hashes(codes, size)
     n = len(codes) - least + 1
-    both = (h[:n] * np.uint64(FACTOR)) ^ (h[least - gram : least - gram + n] >> np.uint64(7)) * MIX
+    both = (h[:n] * np.uint64(FACTOR)) ^ (h[least - size : least - size + n] >> np.uint64(7)) * MIX
     return both ^ (both >> np.uint64(31))
 
 
-def windows(docs: DataFrame, hot: DataFrame, least: int) -> DataFrame:
-    """(hash, doc, low, high): windows of `least` characters around the hot (doc, hash), with the first and last position of the hot pieces in them."""
+def window_classes(docs: DataFrame, hot: DataFrame, least: int) -> DataFrame:
+    """(class, doc, start, end): documents that share a whole window around a hot (hash, doc), windows of the same documents together.
+
+    Counts and signatures of windows are combined before they are shuffled, and the planner
+    may split the join of a hot window.
+    """
+    size = gram(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,74 +212,59 @@ def windows(docs: DataFrame, hot: DataFrame, least: int) -> DataFrame:
                 place = place[np.isin(hashes.view(np.int64), np.array(wanted, dtype=np.int64))]
                 whole = window_hashes(text, least)
                 start = np.arange(len(whole))
-                low, high = np.searchsorted(place, start), np.searchsorted(place, start + (least - GRAM), side="right") - 1
-                start = np.flatnonzero(low <= high)
-                h, low, high = whole[start], place[low[start]], place[high[start]]
+                start = np.flatnonzero(np.searchsorted(place, start) < np.searchsorted(place, start + (least - size), side="right"))
+                h = whole[start]
                 order = np.lexsort((start, h))
-                h, low, high = h[order], low[order], high[order]
+                h, start = h[order], start[order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
                 last = np.concatenate([first[1:], [len(h)]]) - 1 if len(first) else first
-                columns = [pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), doc, dtype=np.int64)), pa.array(low[first].astype(np.int32)), pa.array(high[last].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc", "low", "high"])
+                columns = [pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), doc, dtype=np.int64)), pa.array(start[first].astype(np.int32)), pa.array((start[last] + least).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc", "start", "end"])
 
     texts = docs.filter(F.length("text") >= least).select("doc", "text").dropDuplicates(["doc"])
     wanted = hot.groupBy("doc").agg(F.collect_set("hash").alias("wanted"))
-    return texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(run, "hash bigint, doc bigint, low int, high int")
-
-
-def window_pairs(found: DataFrame) -> DataFrame:
-    """(x, y), members of x.doc < y.doc, of all documents that share a window.
-
-    Windows of the same documents (the neighbours in a longer passage) are one class, with
-    the stretch of them all in each document, so that a pair is formed about once.
-    """
-    found = write_once(found)
+    found = write_once(texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(run, "hash bigint, doc bigint, start int, end int"))
     sets = found.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("one"), F.bit_xor(F.xxhash64("doc", F.lit("two"))).alias("two")).filter("docs > 1")
-    members = found.join(sets, "hash").groupBy("docs", "one", "two", "doc").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    members = write_once(members.select(F.xxhash64("docs", "one", "two").alias("class"), "docs", F.struct("doc", "low", "high").alias("x")))
-    few = members.filter(F.col("docs") <= MEET).groupBy("class").agg(F.collect_list("x").alias("m"))
-    pairs = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
-    many = members.filter(F.col("docs") > MEET)
-    left = many.select("class", "x", F.pmod(F.xxhash64("x.doc"), F.lit(SALTS)).alias("salt"))
-    right = many.select("class", F.col("x").alias("y"), F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(SALTS)))).alias("salt"))
-    return pairs.union(left.join(right, ["class", "salt"]).select("x", "y")).filter("x.doc < y.doc")
-
-
-def candidate_pairs(prints: DataFrame, docs: DataFrame | None = None, least: int = LEAST) -> DataFrame:
-    """(a, b, and the stretch of common hashes in each), a < b, of documents that share a hash.
-
-    One shuffle of the hashes; the count per hash and its join use the same partitioning.
-    With the texts of `docs` hashes of more than MEET documents are refined to the windows
-    around them and no pair is lost; without, each document meets the smallest only.
-    """
-    prints = prints.repartition("hash")
-    shared = prints.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("docs")).filter("first <> last").select("hash", "first", "docs")
-    meeting = write_once(prints.join(shared, "hash"))
-    member = F.struct("doc", "low", "high")
-    few = meeting.filter(F.col("docs") <= MEET).groupBy("hash").agg(F.collect_list(member).alias("m"))
-    pairs = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter("x.doc < y.doc")
-    hot = meeting.filter(F.col("docs") > MEET)
-    if docs is None:
-        head = hot.filter(F.col("doc") == F.col("first")).select("hash", member.alias("x"))
-        tail = hot.filter(F.col("doc") != F.col("first")).select("hash", member.alias("y"))
-        pairs = pairs.union(head.join(tail, "hash").select("x", "y"))
-    elif not hot.isEmpty():
-        pairs = pairs.union(window_pairs(windows(docs, hot, least)))
-    return pairs.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.min("x.low").alias("low_a"), F.max("x.high").alias("high_a"), F.min("y.low").alias("low_b"), F.max("y.high").alias("high_b"))
-
-
-class SpanAutomaton:
-    """Suffix automaton of a reference text that also knows where each state first ends."""
-
-    def __init__(self, text: str):
-        follow, link, length, ends = [{}], [-1], [0], [0]
-        last = 0
-        for at, c in enumerate(text):
+    return found.join(sets, "hash").groupBy(F.xxhash64("docs", "one", "two").alias("class"), "doc").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def meetings(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """Two tables (class, doc, start, end): by pieces, and by whole windows where pieces are hot (None if none is)."""
+    prints = write_once(fingerprints(docs, least))
+    routes = routed(prints, count_table(prints, "hashes"))
+    hot = write_once(routes.filter("hot").groupBy("hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > MEET).select("hash"))
+    if hot.isEmpty():
+        return classes(routes, least), None
+    wanted = write_once(routes.filter("hot").select("hash", "doc").join(hot, "hash"))
+    return classes(routes.join(hot, "hash", "left_anti"), least), window_classes(docs, wanted, least)
+
+
+class ShardAutomaton:
+    """Suffix automaton of several reference texts that knows which of them hold the last `least` characters of a match."""
+
+    def __init__(self, texts: dict[str, int], least: int):
+        """`texts`: the references, each with the bits that stand for it."""
+        follow, link, length, bits = [{}], [-1], [0], [0]
+        for number, (text, own) in enumerate(texts.items()):
+            last = self._append(follow, link, length, bits, 0 if number == 0 else last, [number] if number else [], 0)  # texts are split by numbers, which no text holds
+            last = self._append(follow, link, length, bits, last, text, own)
+        home = list(range(len(length)))
+        order = sorted(range(1, len(length)), key=length.__getitem__)
+        for state in order:
+            if length[link[state]] >= least:
+                home[state] = home[link[state]]
+        for state in reversed(order):
+            bits[link[state]] |= bits[state]
+        self.follow, self.link, self.length, self.bits, self.home, self.least = follow, link, length, bits, home, least
+
+    @staticmethod
+    def _append(follow: list, link: list, length: list, bits: list, last: int, text, own: int) -> int:
+        for c in text:
             now = len(follow)
             follow.append({})
             length.append(length[last] + 1)
             link.append(0)
-            ends.append(at + 1)
+            bits.append(own)
             p = last
             while p >= 0 and c not in follow[p]:
                 follow[p][c] = now
@@ -217,114 +278,204 @@ class SpanAutomaton:
                     follow.append(follow[q].copy())
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    ends.append(ends[q])
+                    bits.append(0)
                     while p >= 0 and follow[p].get(c) == q:
                         follow[p][c] = copy
                         p = link[p]
                     link[q] = link[now] = copy
             last = now
-        self.follow, self.link, self.length, self.ends = follow, link, length, ends
+        return last
 
-    def spans(self, text: str, least: int) -> list[tuple[int, int, int]]:
-        """(start in text, start in the reference, size) of the maximal stretches of at least `least` characters."""
-        follow, link, length, ends = self.follow, self.link, self.length, self.ends
-        state, size, found, best = 0, 0, [], 0
-        for at, c in enumerate(text):
+    def statistics(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(position after it, length, bits) at each position where `least` characters and more of a reference end: the longest match and the references that hold its last `least`."""
+        follow, link, length, least = self.follow, self.link, self.length, self.least
+        state = size = 0
+        for at, c in enumerate(text, 1):
             to = follow[state].get(c)
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = follow[state].get(c)
             if to is None:
-                if size >= least:
-                    found.append((at - size, ends[state] - size, size))
-                while state and to is None:
-                    state = link[state]
-                    size = length[state]
-                    to = follow[state].get(c)
-                if to is None:
-                    size = 0
-                    continue
+                continue
             state = to
             size += 1
-            best = max(best, size)
-        if size >= least:
-            found.append((len(text) - size, ends[state] - size, size))
-        return found
+            if size >= least:
+                yield at, size, self.bits[self.home[state]]
 
 
-def shared_spans(docs: DataFrame, least: int = LEAST, both_ways: bool = True, whole: bool = False) -> DataFrame:
-    """(a, b, start_a, start_b, size): maximal shared spans of pairs a < b of documents (doc, text).
+def shards(members: DataFrame, star: bool) -> DataFrame:
+    """(shard, role, doc, start, end): role 1 a reference of the shard, 2 a document to stream through it, 3 both.
 
-    Null texts and texts shorter than `least` take no part. `whole` finds all pairs, as the
-    queries do; otherwise of more than MEET documents with one hash each is compared with
-    the smallest only. With `both_ways` repeats of a passage within
-    a are found as well: each direction reports the positions of the streamed document, the
-    position in the other being one occurrence (the first).
+    All documents of a class meet, those of one shard in its automaton and others as streams;
+    with `star`, for classes of whole windows, the smallest and the largest document are the
+    references, which is enough to know what of a document is shared.
     """
-    pairs = write_once(candidate_pairs(fingerprints(docs, least), docs if whole else None, least))
-    ids = write_once(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = write_once(docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"]))
-
-    def stretch(side: str):
-        """Start (from 0) and text of the part of a document that can belong to a run with a common hash."""
-        start = F.greatest(F.lit(0), F.col(f"low_{side}") - least)
-        size = F.col(f"high_{side}") + GRAM + least - start
-        return start.alias(f"from_{side}"), F.substring(F.col(f"text_{side}"), start + 1, size).alias(f"part_{side}")
-
-    wide = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    wide = wide.select("a", "b", "low_b", "high_b", *stretch("a"))
-    wide = wide.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    wide = wide.select("a", "b", "from_a", "part_a", *stretch("b"))
-    wide = wide.repartition(F.col("a"), F.pmod("b", F.lit(16))).sortWithinPartitions("a", "from_a")
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("chars"), F.min("doc").alias("least"), F.max("doc").alias("most"))
+    own = F.lit(0) if star else F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    rows = members.join(sizes, "class").withColumn("blocks", F.lit(1) if star else F.ceil(F.col("chars") / SHARD).cast("int"))
+    rows = rows.withColumn("own", own).withColumn("parts", F.ceil(F.col("docs") / STREAMS).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc", F.lit("part")), F.col("parts")).cast("int"))
+    rows = rows.filter("docs > 1").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") * F.col("parts") - 1)))
+    block, part = F.floor(F.col("at") / F.col("parts")), F.col("at") % F.col("parts")
+    refers = (F.col("doc") == F.col("least")) | (F.col("doc") == F.col("most")) if star else block == F.col("own")
+    role = F.when(refers, 1).otherwise(0) + F.when(part == F.col("part"), 2).otherwise(0)
+    return rows.select(F.xxhash64("class", "at").alias("shard"), role.cast("tinyint").alias("role"), "doc", "start", "end").filter("role > 0")
+
+
+def streamed(rows: DataFrame, docs: DataFrame, least: int, pairs: bool) -> DataFrame:
+    """What the documents of `shards` share: (a, b), a < b, with `pairs`, else (doc, start, end) of the stretches that another document holds."""
+    rows = write_once(rows)
+    ids = write_once(rows.select("doc").distinct())
+    near = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
+    texts = write_once(docs.join(near, "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"]))
+    parts = rows.join(texts, "doc").select("shard", "role", "doc", "start", F.expr("substring(text, start + 1, end - start)").alias("part"))
+    parts = parts.repartition("shard").sortWithinPartitions("shard", F.desc(F.col("role").bitwiseAND(F.lit(1).cast("tinyint"))), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, automaton = None, None
+        def made(refs: list[tuple[int, str]]) -> tuple[ShardAutomaton, list[int]]:
+            names = sorted({doc for doc, _ in refs})
+            bit, texts = {doc: 1 << k for k, doc in enumerate(names)}, {}
+            for doc, text in refs:
+                for at in range(0, max(1, len(text) - least + 1), PIECE):  # pieces hold each window of `least` characters whole
+                    piece = text[at : at + PIECE + least - 1]
+                    texts[piece] = texts.get(piece, 0) | bit[doc]
+            return ShardAutomaton(texts, least), names
+
+        def found(automaton: ShardAutomaton, names: list[int], doc: int, start: int, text: str) -> None:
+            own = 1 << names.index(doc) if doc in names else 0
+            if pairs:
+                bits = seen = 0
+                for _, _, seen in automaton.statistics(text):
+                    bits |= seen
+                bits &= ~own
+                k = 0
+                while bits:
+                    if bits & 1:
+                        out.append((min(doc, names[k]), max(doc, names[k])))
+                    bits >>= 1
+                    k += 1
+                return
+            begin = upto = -1
+            for at, _, bits in automaton.statistics(text):
+                if bits & ~own:
+                    if at - least > upto:
+                        if upto >= 0:
+                            out.append((doc, start + begin, start + upto))
+                        begin = at - least
+                    upto = at
+            if upto >= 0:
+                out.append((doc, start + begin, start + upto))
+
+        shard, refs, waiting, automaton, names, out = None, [], [], None, [], []
         for batch in batches:
-            out = []
-            for a, b, from_a, part_a, from_b, part_b in zip(*(c.to_pylist() for c in batch.columns)):
-                if known != part_a:
-                    known, automaton = part_a, SpanAutomaton(part_a)
-                for at, there, size in automaton.spans(part_b, least):
-                    out.append((a, b, from_a + there, from_b + at, size))
-                if both_ways and out and out[-1][:2] == (a, b):
-                    for at, there, size in SpanAutomaton(part_b).spans(part_a, least):
-                        out.append((a, b, from_a + at, from_b + there, size))
-            names = ["a", "b", "start_a", "start_b", "size"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k < 2 else pa.int32()) for k in range(5)], names=names)
+            for now, role, doc, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != shard:
+                    if refs:
+                        automaton, names = made(refs)
+                    for row in waiting:
+                        found(automaton, names, *row)
+                    shard, refs, waiting, automaton = now, [], [], None
+                if role & 1:
+                    refs.append((doc, text))
+                    if role & 2:
+                        waiting.append((doc, start, text))
+                    continue
+                if automaton is None:
+                    automaton, names = made(refs)
+                    for row in waiting:
+                        found(automaton, names, *row)
+                    refs, waiting = [], []
+                found(automaton, names, doc, start, text)
+            yield batch_of(out)
+            out.clear()
+        if refs:
+            automaton, names = made(refs)
+        for row in waiting:
+            found(automaton, names, *row)
+        yield batch_of(out)
+
+    names = ["a", "b"] if pairs else ["doc", "start", "end"]
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if pairs or k == 0 else pa.int32()) for k in range(len(names))], names=names)
 
-    return wide.mapInArrow(run, "a bigint, b bigint, start_a int, start_b int, size int")
+    return parts.mapInArrow(run, "a bigint, b bigint" if pairs else "doc bigint, start int, end int")
+
+
+def sharing_pairs(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(a, b), a < b: the pairs of documents (doc, text) that share a run of `least` characters.
+
+    Null texts and texts shorter than `least` take no part; a repeated doc counts once.
+    """
+    by_piece, by_window = meetings(docs, least)
+    rows = shards(by_piece, star=False)
+    if by_window is not None:
+        rows = rows.unionByName(shards(by_window, star=False))
+    return streamed(rows, docs, least, True).distinct()
+
+
+def shared_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc, start, end): the maximal stretches of each document (doc, text) all of whose runs of `least` characters occur in other documents too."""
+    by_piece, by_window = meetings(docs, least)
+    rows = shards(by_piece, star=False)
+    if by_window is not None:
+        rows = rows.unionByName(shards(by_window, star=True))
+    found = streamed(rows, docs, least, False).groupBy("doc", "start").agg(F.max("end").alias("end"))
+    # Stretches that overlap or touch are one span.
+    before = W.partitionBy("doc").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    found = found.withColumn("upto", F.max("end").over(before)).withColumn("new", F.when(F.col("start") <= F.col("upto"), 0).otherwise(1))
+    found = found.withColumn("span", F.sum("new").over(W.partitionBy("doc").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
+    return found.groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc", "start", "end")
 
 
 def shared_shares(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, n_chars, shared_chars, share) of the documents that share a span: the union of its spans over its length."""
-    ends = spans.select(F.col("a").alias("doc"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("size")).alias("end"))
-    ends = ends.union(spans.select(F.col("b"), F.col("start_b"), F.col("start_b") + F.col("size"))).distinct()
-    # A span pre-merged with its likes by end keeps the lists per document short; then an ordered sweep joins them.
-    ends = ends.groupBy("doc", "end").agg(F.min("start").alias("start"))
-    sweep = "aggregate(array_sort(collect_list(struct(start, end))), struct(0 AS upto, 0 AS n), (s, x) -> struct(greatest(s.upto, x.end) AS upto, s.n + greatest(0, x.end - greatest(s.upto, x.start)) AS n)).n"
-    shared = ends.groupBy("doc").agg(F.expr(sweep).alias("shared_chars"))
+    """(doc, n_chars, shared_chars, share) of the documents that share a span: its (disjoint) spans over its length."""
+    shared = spans.groupBy("doc").agg(F.sum((F.col("end") - F.col("start")).cast("long")).alias("shared_chars"))
     lengths = docs.select("doc", F.length("text").alias("n_chars")).dropDuplicates(["doc"])
     return shared.join(lengths, "doc").select("doc", "n_chars", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("share"))
 
 
+def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc, text) of the documents that share a span, without their (disjoint) spans."""
+    own = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rest = "aggregate(spans, struct('' AS kept, 0 AS at), (s, x) -> struct(concat(s.kept, substring(text, s.at + 1, x.start - s.at)) AS kept, x.end AS at), s -> concat(s.kept, substring(text, s.at + 1)))"
+    return docs.select("doc", "text").dropDuplicates(["doc"]).join(own, "doc").select("doc", F.expr(rest).alias("text"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "doc").filter("doc is not null")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id_a, doc_id_b) that share a verbatim run of at least 200 code points."""
-    spans = shared_spans(corpus(spark, sf_dir), both_ways=False, whole=True)
-    return spans.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    return sharing_pairs(corpus(spark, sf_dir)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with a shared passage, and the share of its text that occurs elsewhere too."""
     docs = corpus(spark, sf_dir)
-    return shared_shares(docs, write_once(shared_spans(docs, whole=True))).withColumnRenamed("doc", "doc_id")
+    return shared_shares(docs, shared_spans(docs)).withColumnRenamed("doc", "doc_id")
+
+
+def p9_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of each document with a shared passage, the passages removed."""
+    docs = corpus(spark, sf_dir)
+    return without_spans(docs, shared_spans(docs)).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p9_removed": p9_removed}
 
+_WINDOWS = """w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+      u AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+      c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE h IN (SELECT h FROM u)),
+      g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM c),
+      s AS (SELECT doc_id, span, min(i) - 1 AS start, max(i) + 199 AS stop FROM g GROUP BY 1, 2)"""
 #: The same pairs by joining all windows of 200 characters.
 ORACLES = {
     "p9_found": """WITH w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: md5(substr(text, i, 200)))) AS h FROM documents WHERE length(text) >= 200)
-      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id"""
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_shares": f"WITH {_WINDOWS} SELECT d.doc_id, length(text) AS n_chars, n AS shared_chars, n / length(text) AS share FROM documents d JOIN (SELECT doc_id, sum(stop - start)::BIGINT AS n FROM s GROUP BY 1) s ON d.doc_id = s.doc_id",
+    "p9_removed": f"WITH {_WINDOWS}, k AS (SELECT s.doc_id, start, substr(text, coalesce(lag(stop) OVER (PARTITION BY s.doc_id ORDER BY start), 0) + 1, start - coalesce(lag(stop) OVER (PARTITION BY s.doc_id ORDER BY start), 0)) AS kept FROM s JOIN documents d ON s.doc_id = d.doc_id),"
+    " j AS (SELECT doc_id, string_agg(kept, '' ORDER BY start) AS kept FROM k GROUP BY 1), m AS (SELECT doc_id, max(stop) AS stop FROM s GROUP BY 1)"
+    " SELECT d.doc_id, kept || substr(text, m.stop + 1) AS text FROM documents d JOIN j ON d.doc_id = j.doc_id JOIN m ON d.doc_id = m.doc_id",
 }
