@@ -16,23 +16,23 @@ PII = [
     ("aws_access_key", r"\bAKIA[A-Z0-9]{16}\b", "critical", "[AWS_KEY_REDACTED]"),
     ("private_key", r"-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----", "critical", "[PRIVATE_KEY_REDACTED]"),
 ]
-#: Risky SQL (pattern, risk, description).
+#: Risky SQL (pattern, risk), with a description in own words.
 SQL_RISKS = [
-    (r"\bDROP\s+(TABLE|DATABASE|SCHEMA|VIEW)\b", "critical", "DROP operation"),
-    (r"\bTRUNCATE\s+TABLE\b", "critical", "TRUNCATE operation"),
-    (r"\bDELETE\s+FROM\b(?!\s+WHERE)", "high", "DELETE without WHERE"),
-    (r"\bUPDATE\b(?!.*\bWHERE\b)", "high", "UPDATE without WHERE"),
-    (r"\bGRANT\s+ALL\b", "high", "GRANT ALL PRIVILEGES"),
-    (r"\bALTER\s+USER\b", "high", "ALTER USER"),
-    (r"\bCREATE\s+USER\b", "medium", "CREATE USER"),
-    (r";\s*--", "high", "Comment after semicolon (possible injection)"),
-    (r"'\s*OR\s+'1'\s*=\s*'1", "critical", "SQL injection pattern"),
-    (r"'\s*OR\s+1\s*=\s*1", "critical", "SQL injection pattern"),
-    (r"\bUNION\s+SELECT\b", "medium", "UNION SELECT (possible injection)"),
-    (r"\bINTO\s+OUTFILE\b", "critical", "INTO OUTFILE"),
-    (r"\bLOAD_FILE\b", "critical", "LOAD_FILE function"),
-    (r"\bEXEC\s*\(", "critical", "EXEC function"),
-    (r"\bxp_cmdshell\b", "critical", "xp_cmdshell"),
+    (r"\bDROP\s+(TABLE|DATABASE|SCHEMA|VIEW)\b", "critical", "removes an object"),
+    (r"\bTRUNCATE\s+TABLE\b", "critical", "empties a table"),
+    (r"\bDELETE\s+FROM\b(?!\s+WHERE)", "high", "deletes every row"),
+    (r"\bUPDATE\b(?!.*\bWHERE\b)", "high", "an UPDATE of every row"),
+    (r"\bGRANT\s+ALL\b", "high", "hands out every right"),
+    (r"\bALTER\s+USER\b", "high", "changes an account"),
+    (r"\bCREATE\s+USER\b", "medium", "makes an account"),
+    (r";\s*--", "high", "a comment follows the end of a statement"),
+    (r"'\s*OR\s+'1'\s*=\s*'1", "critical", "a condition that is always true"),
+    (r"'\s*OR\s+1\s*=\s*1", "critical", "a condition that is always true"),
+    (r"\bUNION\s+SELECT\b", "medium", "a second select is appended"),
+    (r"\bINTO\s+OUTFILE\b", "critical", "writes a file of the server"),
+    (r"\bLOAD_FILE\b", "critical", "reads a file of the server"),
+    (r"\bEXEC\s*\(", "critical", "runs a string as a statement"),
+    (r"\bxp_cmdshell\b", "critical", "runs a command of the system"),
 ]
 #: Statements that may run, and those that are refused by their first word.
 SAFE_WORDS = ("SELECT", "SHOW", "DESCRIBE", "EXPLAIN", "WITH")
@@ -45,38 +45,41 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0))
 
 
-def pii_findings(text: Column) -> Column:
-    """array(struct(rule, risk, matched)), one per match, in detector order; matched is its first 20 characters and '...'."""
+def pii_findings(text: Column, detectors: list[tuple[str, str, str, str]] = PII) -> Column:
+    """array(struct(rule, risk, matched)), one per match, in detector order; matched is its first 20 characters and '...'.
+
+    `detectors` are PII, or PII and others of the same form (name, pattern, risk, placeholder).
+    """
 
     def named(name: str, risk: str):
         return lambda m: F.struct(F.lit(name).alias("rule"), F.lit(risk).alias("risk"), F.concat(F.substring(m, 1, 20), F.lit("...")).alias("matched"))
 
-    return F.concat(*[F.transform(_matches(text, p), named(name, risk)) for name, p, risk, _ in PII])
+    return F.concat(*[F.transform(_matches(text, p), named(name, risk)) for name, p, risk, _ in detectors])
 
 
-def pii_counts(text: Column) -> Column:
+def pii_counts(text: Column, detectors: list[tuple[str, str, str, str]] = PII) -> Column:
     """struct of one bigint per detector."""
-    return F.struct(*[F.regexp_count(text, F.lit(f"(?i){p}")).cast("bigint").alias(name) for name, p, _, _ in PII])
+    return F.struct(*[F.regexp_count(text, F.lit(f"(?i){p}")).cast("bigint").alias(name) for name, p, _, _ in detectors])
 
 
-def pii_redact(text: Column) -> Column:
+def pii_redact(text: Column, detectors: list[tuple[str, str, str, str]] = PII) -> Column:
     """Every match found in the original is replaced, literally, in the text so far redacted."""
 
     def replacing(tag: str):
         return lambda so_far, m: F.replace(so_far, m, F.lit(tag))
 
     out = text
-    for _, pattern, _, tag in PII:
+    for _, pattern, _, tag in detectors:
         out = F.aggregate(_matches(text, pattern), out, replacing(tag))
     return out
 
 
-def pii_pass(text: Column, block_on_critical: bool = True) -> Column:
+def pii_pass(text: Column, block_on_critical: bool = True, detectors: list[tuple[str, str, str, str]] = PII) -> Column:
     """False if a critical detector matches (or, with block_on_critical off, always true). Null text passes."""
     if not block_on_critical:
         return F.lit(True)
     critical = None
-    for _, pattern, risk, _ in PII:
+    for _, pattern, risk, _ in detectors:
         if risk == "critical":
             hit = F.regexp_like(text, F.lit(f"(?i){pattern}"))
             critical = hit if critical is None else critical | hit
@@ -99,6 +102,12 @@ def sql_pass(findings: Column) -> Column:
     return ~F.exists(findings, lambda v: v["risk"].isin("high", "critical"))
 
 
+def violation_rows(found: Column, limit: int = 100) -> Column:
+    """Findings as rows of a log: (rule, risk, matched) with the matched text, or the description, cut to `limit` characters."""
+    cut = lambda v: F.struct(v["rule"].alias("rule"), v["risk"].alias("risk"), F.substring(v.getItem("matched"), 1, limit).alias("matched"))
+    return F.transform(found, cut)
+
+
 def snippet_findings(code: Column) -> Column:
     """Patterns of SNIPPET_DENY found in a Python snippet. Snippets are scanned, never run."""
     return F.filter(F.array(*[F.when(F.regexp_like(code, F.lit(p)), F.lit(p)) for p in SNIPPET_DENY]), lambda x: x.isNotNull())

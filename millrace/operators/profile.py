@@ -11,6 +11,8 @@ PROFILER_NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 QUALITY_NUMERIC = (T.LongType, T.DoubleType)
 #: Exact distinct counts that share one scan; a row goes out once per count, with that column only (Expand).
 DISTINCTS_AT_ONCE = 6
+#: Bytes of input, as the planner knows them, above which a profile takes sketches unless exact figures are asked for.
+EXACT_BYTES = 8 << 30
 
 
 def is_absent(df: DataFrame, name: str) -> Column:
@@ -40,15 +42,19 @@ def _hashable(df: DataFrame, name: str) -> Column:
     return _value(df, name)
 
 
-def profile(df: DataFrame, columns: str | list[str] = "all", numeric: tuple = PROFILER_NUMERIC, approximate: bool = False) -> DataFrame:
+def profile(df: DataFrame, columns: str | list[str] = "all", numeric: tuple = PROFILER_NUMERIC, approximate: bool | None = None) -> DataFrame:
     """null_count, null_rate, unique_count, unique_rate and total_count of every column;
     min, max, mean, median and std of numeric ones; min, max and mean length of strings.
 
     All metrics of all columns but medians come from one aggregation, which is then unpivoted.
-    Exact distinct counts run DISTINCTS_AT_ONCE to a scan. For very large tables `approximate` takes HyperLogLog counts and a quantile sketch for the median, whose
-    exact form holds all distinct values, within the same single pass.
+    Exact distinct counts run DISTINCTS_AT_ONCE to a scan. `approximate` takes HyperLogLog
+    counts (2 %) and a quantile sketch for the median (1 in 10,000), whose exact form holds all
+    distinct values, within the same single pass; None, the default, does so for inputs of over
+    EXACT_BYTES. False gives exact figures at any size.
     An empty table gives counts of 0, rates of 0 and null statistics. NaN counts as null.
     """
+    if approximate is None:
+        approximate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > EXACT_BYTES and _is_read(df)
     names = chosen(df, columns)
     total = F.count(F.lit(1))
     rate = lambda n: F.coalesce(F.try_divide(n, total), F.lit(0.0))
@@ -86,6 +92,11 @@ def profile(df: DataFrame, columns: str | list[str] = "all", numeric: tuple = PR
     return out
 
 
+def _is_read(df: DataFrame) -> bool:
+    """Whether the planner's size comes from files; without them it is a default beyond any size."""
+    return bool(df.inputFiles())
+
+
 def _unpivoted(wide: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     if not keys:
         return wide.sparkSession.createDataFrame([], "column_name string, metric string, value double")

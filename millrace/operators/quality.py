@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.profile import QUALITY_NUMERIC, is_absent, profile
 
@@ -51,7 +52,7 @@ class Expectation:
         }[self.kind]
 
 
-def quality_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+def quality_profile(df: DataFrame, approximate: bool | None = None) -> DataFrame:
     """The long profile with statistics for bigint and double columns only."""
     return profile(df, "all", QUALITY_NUMERIC, approximate)
 
@@ -65,8 +66,9 @@ def rules(df: DataFrame, long: DataFrame | None = None) -> DataFrame:
     """(column_name, rule, kind, severity) of the expectations that the profile suggests.
 
     Names with id, key or _pk: not null. Names that are id or end in _id with over 99 %
-    distinct values: unique. INT, DOUBLE and DECIMAL columns whose minimum is not negative:
-    not negative.
+    distinct values: unique. Numbers whose minimum is in the profile and not negative: not
+    negative; the quality profile has minima of bigint and double columns only, another
+    profile given as `long` may have more.
     """
     types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString().upper()) for f in df.schema.fields], "column_name string, type string")
     known = types.join(_wide(long if long is not None else quality_profile(df)), "column_name", "left")
@@ -197,9 +199,21 @@ def compare_schemas(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def compare_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(side, rows): rows, repeats included, that only one side has."""
-    count = lambda side, df: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(side).alias("side"), "rows")
-    return count("only_a", a.exceptAll(b)).unionByName(count("only_b", b.exceptAll(a)))
+    """(side, rows): rows, repeats included, that only one side has. Columns are matched by position.
+
+    One aggregation of whole rows with signed counts, combined before the shuffle. Nulls equal
+    nulls and NaN equals NaN; maps are equal if their entries are.
+    """
+    names = [f"c{k}" for k in range(len(a.columns))]
+
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        plain = [F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+        return df.select(*[c.alias(n) for c, n in zip(plain, names)], F.lit(sign).cast("bigint").alias("__sign"))
+
+    left = signed(a, 1).union(signed(b, -1)).groupBy(*names).agg(F.sum("__sign").alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0))
+    both = left.agg(total(F.col("n")).alias("only_a"), total(-F.col("n")).alias("only_b"))
+    return both.select(F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("rows")) for s in ("only_a", "only_b")])))
 
 
 def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:

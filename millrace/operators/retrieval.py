@@ -12,45 +12,54 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vectors import usable
 
-#: Queries compared at once with a partition of the collection, and blocks that one read of it serves.
-BLOCK = 2_048
+#: Queries multiplied with a batch at once, and bytes of query vectors that one read of the collection serves.
+BLOCK, READ_BYTES = 1024, 64 << 20
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 5, dim: int = 128, threshold: float | None = None, per: str | None = None) -> DataFrame:
-    """(query_id, item_id, score, place): the k items of highest cosine for each query (id, embedding).
+def top_k(queries: DataFrame, items: DataFrame, k: int | None = 5, dim: int = 128, threshold: float | None = None, per: str | None = None) -> DataFrame:
+    """(query_id, item_id, score, place): the k items of highest cosine for each query (id, embedding); all above `threshold` if k is None.
 
-    A stated query set against all rows: queries go out in blocks of bounded size, each block
-    is multiplied with every batch of the collection, and only k rows per query and batch
-    leave a task. Items are never shuffled. `threshold` keeps scores strictly above it; `per`
-    names a column that query and item must share (the model). Ties go to the smaller id.
-    Vectors that are null, of another length or not finite take no part; zero vectors score 0.
+    A stated query set against all rows: the queries are read when the plan is made and sent
+    out in sets of at most READ_BYTES (65,000 of 128 numbers), each of which takes one read of
+    the collection, whose batches are multiplied with blocks of it. At most k rows per query
+    and batch leave a task; items are never shuffled. For as many queries as items there is
+    the index of problem 4. `threshold` keeps scores strictly above it; `per` names a column
+    that query and item must share (the model). Ties go to the smaller id. Vectors that are
+    null, of another length or not finite take no part; zero vectors score 0.
     """
+    if k is None and threshold is None:
+        raise ValueError("give k, a threshold, or both")
     spark = queries.sparkSession
     asked = queries.filter(usable(F.col("embedding"), dim)).select("id", "embedding", *([per] if per else []))
     stored = items.filter(usable(F.col("embedding"), dim)).select("id", "embedding", *([per] if per else []))
     out = None
-    for block in _blocks(asked, per):
-        shared = spark.sparkContext.broadcast(block)
-        part = stored.mapInArrow(_scorer(shared, k, threshold, bool(per), dim), "query_id string, item_id string, score double")
-        out = part if out is None else out.unionByName(part)
+    for part in _sets(asked, per, max(1, READ_BYTES // (8 * dim))):
+        found = stored.mapInArrow(_scorer(spark.sparkContext.broadcast(part), k, threshold, bool(per), dim), "query_id string, item_id string, score double")
+        out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id string, item_id string, score double, place int")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return out.withColumn("place", place).filter(F.col("place") <= k)
+    ranked = out.withColumn("place", place)
+    return ranked if k is None else ranked.filter(F.col("place") <= k)
 
 
-def _blocks(asked: DataFrame, per: str | None) -> Iterator[tuple]:
-    """Blocks of at most BLOCK queries, streamed through the driver one at a time."""
-    ids, vectors, groups = [], [], []
+def _sets(asked: DataFrame, per: str | None, most: int) -> Iterator[dict]:
+    """Sets of at most `most` queries, by group (None without groups): (ids, unit vectors). They stream through the driver."""
+
+    def packed() -> dict:
+        return {g: (np.array(ids, dtype=object), _unit(np.array(vectors, dtype=np.float64))) for g, (ids, vectors) in groups.items()}
+
+    groups, held = {}, 0
     for r in asked.toLocalIterator(prefetchPartitions=True):
+        ids, vectors = groups.setdefault(r[per] if per else None, ([], []))
         ids.append(str(r.id))
         vectors.append(r.embedding)
-        groups.append(r[per] if per else None)
-        if len(ids) == BLOCK:
-            yield ids, _unit(np.array(vectors, dtype=np.float64)), groups
-            ids, vectors, groups = [], [], []
-    if ids:
-        yield ids, _unit(np.array(vectors, dtype=np.float64)), groups
+        held += 1
+        if held == most:
+            yield packed()
+            groups, held = {}, 0
+    if held:
+        yield packed()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -58,26 +67,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _scorer(shared, k: int, threshold: float | None, grouped: bool, dim: int):
+def _scorer(shared, k: int | None, threshold: float | None, grouped: bool, dim: int):
+    def scored(names: np.ndarray, asked: np.ndarray, own: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(names), BLOCK):
+            score = asked[at : at + BLOCK] @ x.T
+            fine = score > (-np.inf if threshold is None else threshold)
+            many = np.flatnonzero(fine.sum(axis=1) > k) if k is not None else []
+            if len(many):  # all ties at the k-th place stay here; the places are given over all batches
+                fine[many] &= score[many] >= np.partition(score[many], len(own) - k, axis=1)[:, len(own) - k][:, None]
+            q, c = np.nonzero(fine)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at + q].tolist(), pa.string()), pa.array(own[c].tolist(), pa.string()), pa.array(score[q, c], pa.float64())], names=["query_id", "item_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked, groups = shared.value
-        names = np.array(ids, dtype=object)
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = np.array(batch.column(0).cast(pa.string()).to_pylist(), dtype=object)
             x = _unit(batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim))
-            score = asked @ x.T
-            if grouped:
-                same = np.array(groups, dtype=object)[:, None] == np.array(batch.column(2).to_pylist(), dtype=object)[None, :]
-                score[~same] = -np.inf
-            order = np.argsort(own, kind="stable")
-            best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-            q = np.repeat(np.arange(len(asked)), best.shape[1])
-            c = best.ravel()
-            s = score[q, c]
-            fine = np.isfinite(s) & ((s > threshold) if threshold is not None else True)
-            yield pa.RecordBatch.from_arrays([pa.array(names[q[fine]].tolist(), pa.string()), pa.array(own[c[fine]].tolist(), pa.string()), pa.array(s[fine], pa.float64())], names=["query_id", "item_id", "score"])
+            if not grouped:
+                yield from scored(*shared.value[None], own, x)
+                continue
+            rows: dict = {}
+            for at, group in enumerate(batch.column(2).to_pylist()):
+                rows.setdefault(group, []).append(at)
+            for group, at in rows.items():
+                if group is not None and group in shared.value:
+                    yield from scored(*shared.value[group], own[at], x[at])
 
     return run
 

@@ -65,10 +65,31 @@ def by_provider(calls: DataFrame) -> DataFrame:
     return calls.rollup("provider").agg(F.grouping("provider").cast("boolean").alias("is_total"), F.count(F.lit(1)).alias("calls"), F.sum(F.col("input_tokens").cast("bigint")).alias("input_tokens"), F.sum(F.col("output_tokens").cast("bigint")).alias("output_tokens"), F.sum(figure("cost")).alias("cost"))
 
 
-def cumulative(calls: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
-    """Running totals of tokens and cost per run, a step per call."""
-    frame = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return calls.withColumn("step", F.row_number().over(W.partitionBy(*partition).orderBy(*order)).cast("bigint")).withColumn("tokens_so_far", F.sum(F.coalesce(F.col("input_tokens"), F.lit(0)).cast("bigint") + F.coalesce(F.col("output_tokens"), F.lit(0)).cast("bigint")).over(frame)).withColumn("cost_so_far", F.sum(F.coalesce("cost", F.lit(0.0))).over(frame))
+def cumulative(calls: DataFrame, partition: list[str], order: list[str], block: Column | None = None) -> DataFrame:
+    """Running totals of tokens and cost per run, a step per call.
+
+    With a `block` (an expression that does not fall along `order`, such as the day of its
+    first column) a window covers a block of a run and the totals of earlier blocks come from
+    one row per run and block, so a run with very many calls is many tasks. A null run is one.
+    """
+    tokens = F.coalesce(F.col("input_tokens"), F.lit(0)).cast("bigint") + F.coalesce(F.col("output_tokens"), F.lit(0)).cast("bigint")
+    cost = F.coalesce("cost", F.lit(0.0))
+    rows = calls.withColumn("__block", block if block is not None else F.lit(0))
+    keys = [*partition, "__block"]
+    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("step", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")).withColumn("tokens_so_far", F.sum(tokens).over(frame)).withColumn("cost_so_far", F.sum(cost).over(frame))
+    if block is None:
+        return rows.drop("__block")
+    sums = calls.withColumn("__block", block).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(tokens).alias("__tokens"), F.sum(cost).alias("__cost"))
+    earlier = W.partitionBy(*partition).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*[F.col(k).alias(f"__b{i}") for i, k in enumerate(keys)], *[F.sum(f"__{x}").over(earlier).alias(f"__{x}") for x in ("n", "tokens", "cost")])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__b{i}"))
+    joined = rows.join(before, same, "left")
+    for name, x in (("step", "n"), ("tokens_so_far", "tokens"), ("cost_so_far", "cost")):
+        joined = joined.withColumn(name, F.col(name) + F.coalesce(f"__{x}", F.lit(0)))
+    return joined.drop("__block", "__n", "__tokens", "__cost", *[f"__b{i}" for i in range(len(keys))])
 
 
 def last_calls(calls: DataFrame, partition: list[str], order: list[Column], k: int = 10) -> DataFrame:

@@ -71,7 +71,7 @@ def dq_rules_events(spark, sf):
     return quality.rules(load(spark, sf, "events"))
 
 
-@query(O.rules_sql("call_usage").replace("'input_tokens', ", "'input_tokens', ") + " UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', '{c}_positive', 'in_range', 'medium' FROM call_usage WHERE false" for c in ("input_tokens",)))
+@query(O.rules_sql("call_usage"))
 def dq_rules_call_usage(spark, sf):
     return quality.rules(load(spark, sf, "call_usage"))
 
@@ -326,23 +326,23 @@ def cosine_topk(spark, sf):
 def retrieve_filtered(spark, sf):
     v = load(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
     items = retrieval.metadata_filter(v, {"label": "3"})
-    return rounded(retrieval.top_k(v.filter(F.col("id").cast("bigint") % 50 == 0), items, 10_000, 64, 0.35), 6, "score").drop("place")
+    return rounded(retrieval.top_k(v.filter(F.col("id").cast("bigint") % 50 == 0), items, None, 64, 0.35), 6, "score").drop("place")
 
 
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
 
-@query(f"WITH e AS (SELECT DISTINCT entry_id, model, embedding FROM cache_entries WHERE {_USABLE}), n AS (SELECT * FROM e WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0) SELECT query_id, item_id, score FROM (SELECT q.entry_id AS query_id, i.entry_id AS item_id, round(list_cosine_similarity(q.embedding, i.embedding), 6) AS score, row_number() OVER (PARTITION BY q.entry_id ORDER BY list_cosine_similarity(q.embedding, i.embedding) DESC, i.entry_id) AS p FROM n q JOIN n i ON q.model = i.model AND CAST(substr(q.entry_id, 4) AS BIGINT) % 50 = 0 AND CAST(substr(i.entry_id, 4) AS BIGINT) % 50 <> 0 AND list_cosine_similarity(q.embedding, i.embedding) > 0.85) WHERE p = 1")
+@query(f"WITH e AS (SELECT DISTINCT entry_id, model, embedding FROM cache_entries WHERE {_USABLE}), n AS (SELECT * FROM e WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0) SELECT query_id, item_id, score FROM (SELECT q.entry_id AS query_id, i.entry_id AS item_id, round(list_cosine_similarity(q.embedding, i.embedding), 6) AS score, row_number() OVER (PARTITION BY q.entry_id ORDER BY list_cosine_similarity(q.embedding, i.embedding) DESC, i.entry_id) AS p FROM n q JOIN n i ON q.model = i.model AND CAST(substr(q.entry_id, 4) AS BIGINT) % 50 = 0 AND list_cosine_similarity(q.embedding, i.embedding) > 0.85) WHERE p = 1")
 def semantic_match(spark, sf):
     e = load(spark, sf, "cache_entries", ["entry_id", "model", "embedding"]).withColumnRenamed("entry_id", "id").dropDuplicates(["id"])
     asked = F.substring("id", 4, 20).cast("bigint") % 50 == 0
-    return rounded(retrieval.semantic_match(e.filter(asked), e.filter(~asked), 0.85), 6, "score")
+    return rounded(retrieval.semantic_match(e.filter(asked), e, 0.85), 6, "score")
 
 
-@query(f"WITH c AS (SELECT DISTINCT ON (id) id, content, embedding FROM chunks WHERE {_USABLE}), n AS (SELECT * FROM c WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0), r AS (SELECT q.id AS query_id, i.content, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding, i.embedding) DESC, i.id) AS p FROM n q, n i WHERE ascii(substr(md5(q.id), 1, 1)) = 97 AND list_cosine_similarity(q.embedding, i.embedding) > 0.8) SELECT query_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY p)) AS context, count(*) AS total_results FROM r WHERE p <= 3 GROUP BY 1")
+@query(f"WITH c AS (SELECT DISTINCT ON (id) id, content, embedding FROM chunks WHERE {_USABLE}), n AS (SELECT * FROM c WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0), r AS (SELECT q.id AS query_id, i.content, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding, i.embedding) DESC, i.id) AS p FROM n q, n i WHERE CAST(regexp_extract(q.id, '([0-9]+)_chunk', 1) AS BIGINT) % 50 = 0 AND list_cosine_similarity(q.embedding, i.embedding) > 0.8) SELECT query_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY p)) AS context, count(*) AS total_results FROM r WHERE p <= 3 GROUP BY 1")
 def rag_context(spark, sf):
     c = load(spark, sf, "chunks", ["id", "content", "embedding"]).dropDuplicates(["id"])
-    ranked = retrieval.top_k(c.filter("substr(md5(cast(id as binary)), 1, 1) = 'a'"), c, 3, 128, 0.8)
+    ranked = retrieval.top_k(c.filter(F.regexp_extract("id", r"(\d+)_chunk", 1).cast("bigint") % 50 == 0), c, 3, 128, 0.8)
     return retrieval.context(ranked, c).withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
@@ -377,7 +377,7 @@ def usage_by_provider(spark, sf):
 
 @query(f"WITH {_PRICED} SELECT call_id, user_id, row_number() OVER w AS step, CAST(sum(input_tokens + output_tokens) OVER w AS BIGINT) AS tokens_so_far, round(sum(cost) OVER w, 8) AS cost_so_far FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING)")
 def usage_cumulative(spark, sf):
-    out = usage.cumulative(_priced(spark, sf), ["user_id"], ["ts", "call_id"])
+    out = usage.cumulative(_priced(spark, sf), ["user_id"], ["ts", "call_id"], F.to_date("ts"))
     return rounded(out.select("call_id", "user_id", "step", "tokens_so_far", "cost_so_far"), 8, "cost_so_far")
 
 
@@ -446,7 +446,8 @@ def cache_hit_rate(spark, sf):
     return rounded(cache.hit_rate(_replayed(spark, sf)), 6, "hit_rate")
 
 
-@query()
+@query("WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), b AS (SELECT *, lag(n) OVER (PARTITION BY user_id, event_type ORDER BY n) AS before FROM e) "
+"SELECT b.user_id, b.event_id, b.event_type, b.before IS NOT NULL AND (SELECT count(DISTINCT o.event_type) FROM e o WHERE o.user_id = b.user_id AND o.n > b.before AND o.n < b.n) < 3 AS hit FROM b")
 def cache_lru_hits(spark, sf):
     return cache.lru_hits(load(spark, sf, "events", ["event_id", "user_id", "event_type", "ts"]), "event_type", "ts", "event_id", ["user_id"], 3)
 
@@ -574,3 +575,6 @@ def ai_map_stub(spark, sf):
 @query("SELECT * FROM (VALUES ('model', 'string', true), ('provider', 'string', true), ('input_per_1k', 'double', true), ('output_per_1k', 'double', true)) t(column_name, data_type, nullable)")
 def data_dictionary(spark, sf):
     return profile.data_dictionary(load(spark, sf, "model_pricing")).drop("comment")
+
+
+from millrace.plans import composed  # noqa: E402, F401  (registers its queries here)

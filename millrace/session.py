@@ -69,10 +69,14 @@ def as_instant(df: DataFrame, *names: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for `DataFrame.checkpoint`.
 
+    Checkpoints are deleted once nothing refers to them, unless the session says otherwise.
     The session's own setting (`spark.checkpoint.dir`) wins. A temporary folder is
     made only in single-process local mode, where every task shares the machine.
     """
     sc = spark.sparkContext
+    settings, cleaned = sc._jsc.sc().conf(), "spark.cleaner.referenceTracking.cleanCheckpoints"
+    if not settings.contains(cleaned):
+        settings.set(cleaned, "true")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()

@@ -43,6 +43,16 @@ def json_stream(spark: SparkSession, folder: str, schema: str | T.StructType) ->
     return rows.withColumn("ingested_at", F.current_timestamp()).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table as a stream of its files, be it a folder or a single file."""
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
 def topic_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """A Kafka topic as a stream; needs the connector on the class path."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
@@ -68,19 +78,47 @@ def table_info(spark: SparkSession, table: str, include_sample: bool = True) ->
     return info | ({"sample": [r.asDict(recursive=True) for r in df.limit(5).collect()]} if include_sample else {})
 
 
+def table_comment(spark: SparkSession, table: str) -> str | None:
+    """The comment of a table, or null."""
+    found = [r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(table)}").collect() if r.col_name == "Comment"]
+    return found[0] if found else None
+
+
 def schema_context(spark: SparkSession, schema: str, columns: int = 5) -> DataFrame:
-    """(table_name, columns) of a schema: the first few column names, with an ellipsis when exactly that many were kept."""
+    """(table_name, columns) of a schema: the first few columns as `name: type`, with an ellipsis when exactly that many were kept."""
     rows = []
     for t in spark.catalog.listTables(schema):
-        names = [c.name for c in spark.catalog.listColumns(t.name if t.isTemporary else f"{schema}.{t.name}")][:columns]
-        rows.append((t.name, ", ".join(names) + ("..." if len(names) == columns else "")))
+        found = spark.catalog.listColumns(t.name if t.isTemporary else f"{schema}.{t.name}")[:columns]
+        rows.append((t.name, ", ".join(f"{c.name}: {c.dataType}" for c in found) + ("..." if len(found) == columns else "")))
     return spark.createDataFrame(rows, "table_name string, columns string")
 
 
-def search_tables(spark: SparkSession, pattern: str, limit: int = 20) -> DataFrame:
-    """(namespace, table_name) of tables whose name contains a pattern."""
-    found = spark.sql("SHOW TABLES").select("namespace", F.col("tableName").alias("table_name"))
-    return found.filter(F.contains(F.lower("table_name"), F.lit(pattern.lower()))).orderBy("table_name").limit(limit)
+def search_tables(spark: SparkSession, pattern: str, limit: int = 20, catalog: str | None = None, schema: str | None = None) -> DataFrame:
+    """(namespace, table_name, comment) of tables whose name or comment contains a pattern, whatever the case.
+
+    Searches the schema that is given, all schemas of the catalog that is given, or else the
+    current schema. Metadata only; no table is read.
+    """
+    if schema is not None:
+        spaces = [f"{catalog}.{schema}" if catalog else schema]
+    elif catalog is not None:
+        spaces = [f"{catalog}.{r[0]}" for r in spark.sql(f"SHOW SCHEMAS IN {_quoted(catalog)}").collect()]
+    else:
+        spaces = [None]
+    rows = []
+    for space in spaces:
+        for r in spark.sql(f"SHOW TABLES{f' IN {_quoted(space)}' if space else ''}").collect():
+            full = r.tableName if r.isTemporary or not r.namespace else f"{space or r.namespace}.{r.tableName}"
+            rows.append((r.namespace or None, r.tableName, None if r.isTemporary else table_comment(spark, full)))
+    held = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern.lower()))
+    found = spark.createDataFrame(rows, "namespace string, table_name string, comment string").distinct()
+    return found.filter(held(F.col("table_name")) | held(F.col("comment"))).orderBy("table_name").limit(limit)
+
+
+def table_context(spark: SparkSession, table: str) -> str:
+    """What a prompt is told of a table: its name, comment and columns with their types and comments."""
+    lines = [f"Table: {table}"] + ([f"Comment: {c}"] if (c := table_comment(spark, table)) else [])
+    return "\n".join(lines + [f"- {r.col_name}: {r.data_type}" + (f" ({r.comment})" if r.comment else "") for r in describe(spark, table).collect()])
 
 
 def _quoted(table: str) -> str:

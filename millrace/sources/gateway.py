@@ -52,10 +52,12 @@ def register(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str]) -> DataFrame:
-    """Each left row with the latest right row of the same key at or before its time.
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str], block: str = "day") -> DataFrame:
+    """Each left row with the latest right row of the same key at or before its time; a null key has none.
 
-    A union of both sides and one ordered window per key, instead of a range join.
+    A union of both sides and an ordered window, instead of a range join. The window covers a
+    `block` of time (a unit of date_trunc) of a key, and the last right row of earlier blocks
+    comes from one row per key and block, so a key with very many rows is many tasks.
     Ties in time: the right row comes first; among equal right rows the last in `columns` order.
     """
     from pyspark.sql import Window as W
@@ -63,6 +65,12 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, column
     mark = F.struct(*columns)
     a = left.select("*", F.lit(1).alias("__side"), F.lit(None).cast(right.select(mark.alias("x")).schema["x"].dataType).alias("__mark"))
     b = right.select(*[F.col(c) if c in (*by, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("__side"), mark.alias("__mark"))
-    order = W.partitionBy(*by).orderBy(F.col(at), F.col("__side"), F.col("__mark")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = a.unionByName(b).withColumn("__last", F.last("__mark", ignorenulls=True).over(order)).filter("__side = 1")
-    return both.select(*left.columns, *[F.col(f"__last.{c}").alias(f"asof_{c}") for c in columns])
+    known = b.dropna(subset=by)
+    both = a.unionByName(known).withColumn("__block", F.date_trunc(block, F.col(at)))
+    newest = both.groupBy(*by, "__block").agg(F.max(F.when(F.col("__side") == 0, F.struct(at, "__mark"))).alias("__newest"))
+    earlier = W.partitionBy(*by).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    carried = newest.select(*by, "__block", F.last("__newest", ignorenulls=True).over(earlier)["__mark"].alias("__before")).filter("__before IS NOT NULL")
+    order = W.partitionBy(*by, "__block").orderBy(F.col(at), F.col("__side"), F.col("__mark")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("__last", F.last("__mark", ignorenulls=True).over(order)).filter("__side = 1").join(carried, [*by, "__block"], "left")
+    last = F.coalesce("__last", "__before")
+    return found.select(*[F.col(f"`{c}`") for c in left.columns], *[last[c].alias(f"asof_{c}") for c in columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.operators.infer import Infer, echo_stub, with_answers
 from millrace.operators.ratelimit import Limits, Window, micros
-from millrace.session import as_instant
+from millrace.session import as_instant, ensure_checkpoint_dir
 
 DELAY = "10 minutes"
 
@@ -112,3 +113,16 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True)
     """Appends a stream to a parquet folder, exactly once per input row."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for the rows that are there now, as a table in the shared folder; `complete` for aggregates without their open windows left out."""
+    folder = f"{ensure_checkpoint_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{folder}/out")
+    writer = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -47,7 +47,7 @@ def test_catalog(spark):
         assert [(r.col_name, r.comment) for r in files.describe(spark, "wide_demo").collect()][0] == ("a", "first")
         info = files.table_info(spark, "wide_demo")
         assert info["rows"] == 1 and info["properties"]["Provider"].lower() == "parquet" and info["sample"][0]["b"] == "x"
-        assert {r.table_name: r.columns for r in files.schema_context(spark, "default").collect()}["wide_demo"] == "a, b, c, d, e..."
+        assert {r.table_name: r.columns for r in files.schema_context(spark, "default").collect()}["wide_demo"] == "a: int, b: string, c: int, d: int, e: int..."
         assert [r.table_name for r in files.search_tables(spark, "IDE_DE").collect()] == ["wide_demo"]
         sinks.append_chunks(spark.createDataFrame([("c1", "text", [1.0])], "id string, content string, embedding array<double>"), "chunk_demo_index")
         assert spark.table("chunk_demo").columns == ["id", "content"]
