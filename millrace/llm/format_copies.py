@@ -263,3 +263,27 @@ def p5_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_requests": p5_requests}
+
+_BARE = "regexp_replace(lower(nfc_normalize({})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_FIELD = "'^[^\\p{L}\\p{N}_{}\\[\\]]*\\p{L}[\\p{L}\\p{N}_ .–-]*\\s*:([^/]|/[^/]|/$|$)'"
+
+
+def _fields(split: str) -> str:
+    """The sorted name and value of all parts, or null if a part is no field or there are fewer than two."""
+    parts = f"list_filter(string_split_regex(t, '{split}'), lambda p: {_BARE.format('p')} <> '')"
+    name, value = _BARE.format("split_part(p, ':', 1)"), _BARE.format("substr(p, instr(p, ':') + 1)")
+    return f"CASE WHEN len({parts}) >= 2 AND len(list_filter({parts}, lambda p: NOT regexp_matches(p, {_FIELD}))) = 0 THEN array_to_string(list_sort(list_transform({parts}, lambda p: {name} || chr(31) || {value})), chr(30)) END"
+
+
+#: The forms of flat JSON objects, fields and other texts in SQL, and the groups of equal ones.
+_GROUPS = (
+    "WITH e AS (SELECT DISTINCT ON (entry_id) entry_id, model, coalesce(trim(prompt) = '[not logged]', false) AS held, CASE WHEN trim(prompt) = '[not logged]' THEN key ELSE prompt END AS t FROM cache_entries), "
+    "q AS (SELECT *, regexp_extract(translate(t, '“”„', '\"\"\"'), '(?s)\\{.*\\}') AS body FROM e), "
+    f"j AS (SELECT *, CASE WHEN body <> '' AND json_valid(body) AND {_BARE.format("replace(translate(t, '“”„', '\"\"\"'), body, '')")} = '' THEN array_to_string(list_sort(list_transform(json_keys(body), lambda k: {_BARE.format('k')} || chr(31) || {_BARE.format("json_extract_string(body, '$.\"' || k || '\"')")})), chr(30)) END AS object FROM q), "
+    f"f AS (SELECT entry_id, model, held, coalesce('{{' || coalesce(object, {_fields('[\\r\\n]+')}, {_fields('[;|]')}, {_fields('[\\r\\n;|]+')}) || '}}', {_BARE.format('t')}) AS form, t IS NULL AS gone FROM j), "
+    "g AS (SELECT entry_id, min(entry_id) OVER w AS first_id, count(*) OVER w AS copies FROM f WINDOW w AS (PARTITION BY model, held, gone, form)) "
+)
+ORACLES = {
+    "p5_found": _GROUPS + "SELECT first_id AS id_a, entry_id AS id_b FROM g WHERE first_id <> entry_id",
+    "p5_requests": _GROUPS + "SELECT entry_id, copies FROM g WHERE entry_id = first_id",
+}

@@ -186,4 +186,27 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.withColumn("reached_share", F.coalesce(F.try_divide("reached_tokens", F.sum("reached_tokens").over(mix)), F.lit(0.0))).withColumn("reached_of_wanted", F.coalesce(F.try_divide("reached_tokens", F.col("wanted_tokens")), F.lit(0.0)))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
+def p8_met(spark: SparkSession, sf_dir: str, slack: int = 16) -> DataFrame:
+    """(mix_id, source, docs, met) per target: the documents of the source, and whether the budget was met.
+
+    Met: the drawn tokens are at most the budget and within `slack` of the smaller of the
+    budget and what max_repeats allows, or every document that still fits was drawn; no
+    document was drawn more often than allowed.
+    """
+    tokens = token_table(spark, sf_dir)
+    targets = load(spark, sf_dir, "mix_targets")
+    rows, _ = make_plan(tokens, targets)
+    drawn = draw(tokens, rows).groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached"), F.max("copies").alias("most"))
+    sizes = tokens.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("docs"), F.min(F.when(F.col("n_tokens") > 0, F.col("n_tokens"))).alias("shortest"))
+    wanted = spark.createDataFrame([(r["mix_id"], r["source"], r["budget"]) for r in rows], "mix_id string, source string, budget bigint")
+    repeats = targets.select("mix_id", "source", F.coalesce("max_repeats", F.lit(0)).alias("repeats")).dropDuplicates(["mix_id", "source"])
+    joined = wanted.join(repeats, ["mix_id", "source"]).join(sizes, "source", "left").join(drawn, ["mix_id", "source"], "left").fillna(0, ["reached", "most", "size", "docs", "shortest"])
+    goal = F.least("budget", F.greatest(F.col("repeats"), F.lit(0)) * F.col("size"))
+    met = (F.col("reached") <= F.col("budget")) & (F.col("most") <= F.greatest("repeats", F.lit(0))) & (F.col("reached") >= goal - F.greatest(F.lit(slack), F.col("shortest")))
+    return joined.select("mix_id", "source", "docs", met.alias("met"))
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_met": p8_met}
+
+#: The targets and the documents of their sources; that all budgets are met is what the operator promises.
+ORACLES = {"p8_met": "SELECT DISTINCT m.mix_id, m.source, coalesce(d.docs, 0) AS docs, true AS met FROM mix_targets m LEFT JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY 1) d ON m.source = d.source WHERE m.mix_id IS NOT NULL"}

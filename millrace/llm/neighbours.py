@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import write_once
+from millrace.operators.retrieval import top_k
 from millrace.session import load
 
 #: Vectors that place the centroids, at most, per table, and within a cell that is split again.
@@ -352,7 +353,27 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("place", F.row_number().over(W.partitionBy("tbl", "id").orderBy(F.desc("cosine"), "other")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+def p4_recall(spark: SparkSession, sf_dir: str, least: float = 0.9) -> DataFrame:
+    """(tbl, asked, enough): the vectors whose id is divisible by 50, and whether at least `least` of their five nearest by brute force against all rows are among those of the index.
+
+    Vectors as near as the fifth nearest (ties) count as nearest.
+    """
+    rows = write_once(chunk_and_cache_vectors(spark, sf_dir).filter("id is not null").dropDuplicates(["tbl", "id"]).filter(F.exists("vec", lambda x: x != 0)))
+    found = write_once(neighbours(rows, 5).select("tbl", "id", "other", "cosine"))
+    out = None
+    for tbl in ("chunks", "cache_entries"):
+        own = rows.filter(F.col("tbl") == tbl).select("id", F.col("vec").alias("embedding"))
+        asked = own.filter(F.regexp_extract("id", r"([0-9]+)", 1).cast("bigint") % 50 == 0)
+        # One more than five: the vector itself is among its nearest.
+        exact = top_k(asked, own, 6).filter("query_id <> item_id").withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).filter("place <= 5")
+        fifth = exact.groupBy("query_id").agg(F.min("score").alias("edge"), F.count(F.lit(1)).alias("wanted"))
+        ours = found.filter(F.col("tbl") == tbl).join(fifth, F.col("id") == F.col("query_id"), "right").groupBy("query_id", "wanted").agg(F.count_if(F.col("cosine") >= F.col("edge") - 1e-3).alias("hits"))
+        one = ours.agg(F.lit(tbl).alias("tbl"), F.count(F.lit(1)).alias("asked"), (F.sum(F.least("hits", "wanted")) >= least * F.sum("wanted")).alias("enough"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall}
 
 #: The same pairs by comparing every vector with every other.
 _EXACT = """SELECT least(id, other) AS id_a, greatest(id, other) AS id_b FROM (
@@ -361,5 +382,7 @@ _EXACT = """SELECT least(id, other) AS id_a, greatest(id, other) AS id_b FROM (
 _USABLE = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 ORACLES = {
     "p4_found": f"WITH a AS (SELECT DISTINCT ON (id) id, embedding AS v FROM chunks WHERE {_USABLE}), b AS (SELECT DISTINCT ON (entry_id) entry_id AS id, embedding AS v FROM cache_entries WHERE {_USABLE}) "
-    f"SELECT DISTINCT * FROM ({_EXACT.format(t='a')}) UNION SELECT DISTINCT * FROM ({_EXACT.format(t='b')})"
+    f"SELECT DISTINCT * FROM ({_EXACT.format(t='a')}) UNION SELECT DISTINCT * FROM ({_EXACT.format(t='b')})",
+    "p4_recall": f"SELECT 'chunks' AS tbl, count(DISTINCT id) AS asked, true AS enough FROM chunks WHERE {_USABLE} AND CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) % 50 = 0 UNION ALL "
+    f"SELECT 'cache_entries', count(DISTINCT entry_id), true FROM cache_entries WHERE {_USABLE} AND CAST(regexp_extract(entry_id, '([0-9]+)', 1) AS BIGINT) % 50 = 0",
 }

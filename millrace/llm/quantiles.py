@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import ensure_checkpoint_dir, load
+from millrace.llm.common import write_once
+from millrace.session import load
 
 SIZE = 2048
 #: Sketches of one group that a single merge task takes in.
@@ -213,8 +214,7 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     `start` is the first day of the period (null for all time, and for calls without ts).
     """
-    ensure_checkpoint_dir(spark)
-    daily = daily_sketches(spark, sf_dir).checkpoint()  # bounded sketches, read twice
+    daily = write_once(daily_sketches(spark, sf_dir))  # bounded sketches, read twice
     by_day = read_percentiles(daily, ["model", "day"]).select("model", F.lit("day").alias("period"), F.col("day").alias("start"), "metric", "n", *[f"p{p}" for p in PERCENTS])
     periods = F.array(*[F.struct(F.lit(name).alias("period"), start.alias("start")) for name, start in (("week", F.to_date(F.date_trunc("week", "day"))), ("month", F.to_date(F.date_trunc("month", "day"))), ("all", F.lit(None).cast("date")))])
     spread = daily.withColumn("p", F.explode(periods)).select("model", "p.period", "p.start", "metric", "sketch", F.coalesce(F.pmod(F.datediff("day", F.lit("1970-01-01")), F.lit(FAN_IN * FAN_IN)), F.lit(0)).alias("part"))
@@ -223,4 +223,42 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_day.unionByName(longer)
 
 
-QUERIES = {"p3_percentiles": p3_percentiles}
+def p3_rank_errors(spark: SparkSession, sf_dir: str, bound: float = 0.01) -> DataFrame:
+    """(model, period, start, metric, n, within) per row of `p3_percentiles`: the number of values by an exact count, and whether all ranks are within `bound` of the wanted ones.
+
+    The percentiles meet every value of their group: a row counts, per percentile, the values
+    below and up to it. Counts are combined before they are shuffled.
+    """
+    found = write_once(p3_percentiles(spark, sf_dir))
+    calls = load(spark, sf_dir, "call_usage", ["call_id", "model", "ts", "latency_ms", "cost_usd"])
+    calls = distinct_calls(calls.withColumn("day", F.to_date("ts")), "call_id", ["model", "day", "latency_ms", "cost_usd"])
+    starts = {"day": F.col("day"), "week": F.to_date(F.date_trunc("week", "day")), "month": F.to_date(F.date_trunc("month", "day")), "all": F.lit(None).cast("date")}
+    periods = F.array(*[F.struct(F.lit(name).alias("period"), start.alias("start")) for name, start in starts.items()])
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("latency_ms", "cost_usd")])
+    values = calls.select("model", F.explode(periods).alias("p"), metrics.alias("m")).select("model", "p.*", F.explode("m").alias("m")).select("model", "period", "start", "m.*")
+    values = values.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("model", "period", "start", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
+    keys = ["model", "period", "start", "metric"]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"v.{k}").eqNullSafe(F.col(f"f.{k}"))
+    both = values.alias("v").join(found.alias("f"), same)
+    parts = [F.sum(F.when(F.col("v.value") < F.col(f"f.p{p}"), F.col("v.rows")).otherwise(0)).alias(f"below{p}") for p in PERCENTS]
+    parts += [F.sum(F.when(F.col("v.value") <= F.col(f"f.p{p}"), F.col("v.rows")).otherwise(0)).alias(f"upto{p}") for p in PERCENTS]
+    ranks = both.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys]).agg(F.sum("v.rows").alias("n"), *parts)
+    within = F.lit(True)
+    for p in PERCENTS:
+        wanted = F.ceil(F.col("n") * p / 100)
+        within = within & (F.col(f"below{p}") < wanted + bound * F.col("n")) & (F.col(f"upto{p}") >= wanted - bound * F.col("n"))
+    return ranks.select(*keys, "n", within.alias("within"))
+
+
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_rank_errors": p3_rank_errors}
+
+#: The groups and their sizes; that all ranks are within the bound is what the operator promises.
+ORACLES = {
+    "p3_rank_errors": """WITH c AS (SELECT DISTINCT ON (call_id) model, CAST(ts AS DATE) AS day, latency_ms, cost_usd FROM call_usage),
+      v AS (SELECT model, day, 'latency_ms' AS metric, latency_ms AS value FROM c UNION ALL SELECT model, day, 'cost_usd', cost_usd FROM c),
+      p AS (SELECT model, metric, 'day' AS period, day AS start FROM v WHERE value IS NOT NULL AND NOT isnan(value) UNION ALL SELECT model, metric, 'week', CAST(date_trunc('week', day) AS DATE) FROM v WHERE value IS NOT NULL AND NOT isnan(value)
+        UNION ALL SELECT model, metric, 'month', CAST(date_trunc('month', day) AS DATE) FROM v WHERE value IS NOT NULL AND NOT isnan(value) UNION ALL SELECT model, metric, 'all', NULL FROM v WHERE value IS NOT NULL AND NOT isnan(value))
+      SELECT model, period, start, metric, count(*) AS n, true AS within FROM p GROUP BY 1, 2, 3, 4"""
+}
