@@ -356,7 +356,7 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_recall(spark: SparkSession, sf_dir: str, least: float = 0.9) -> DataFrame:
     """(tbl, asked, enough): the vectors whose id is divisible by 50, and whether at least `least` of their five nearest by brute force against all rows are among those of the index.
 
-    Vectors as near as the fifth nearest (ties) count as nearest.
+    Vectors as near as the fifth nearest (ties) count as nearest; if none is asked for, enough is true.
     """
     rows = write_once(chunk_and_cache_vectors(spark, sf_dir).filter("id is not null").dropDuplicates(["tbl", "id"]).filter(F.exists("vec", lambda x: x != 0)))
     found = write_once(neighbours(rows, 5).select("tbl", "id", "other", "cosine"))
@@ -368,7 +368,7 @@ def p4_recall(spark: SparkSession, sf_dir: str, least: float = 0.9) -> DataFrame
         exact = top_k(asked, own, 6).filter("query_id <> item_id").withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).filter("place <= 5")
         fifth = exact.groupBy("query_id").agg(F.min("score").alias("edge"), F.count(F.lit(1)).alias("wanted"))
         ours = found.filter(F.col("tbl") == tbl).join(fifth, F.col("id") == F.col("query_id"), "right").groupBy("query_id", "wanted").agg(F.count_if(F.col("cosine") >= F.col("edge") - 1e-3).alias("hits"))
-        one = ours.agg(F.lit(tbl).alias("tbl"), F.count(F.lit(1)).alias("asked"), (F.sum(F.least("hits", "wanted")) >= least * F.sum("wanted")).alias("enough"))
+        one = ours.agg(F.lit(tbl).alias("tbl"), F.count(F.lit(1)).alias("asked"), F.coalesce(F.sum(F.least("hits", "wanted")) >= least * F.sum("wanted"), F.lit(True)).alias("enough"))
         out = one if out is None else out.unionByName(one)
     return out
 
