@@ -125,5 +125,16 @@ def purge(entries: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def evict_oldest(entries: DataFrame, keep: int) -> DataFrame:
-    """The `keep` most recently accessed entries (never accessed counts as created)."""
-    return entries.orderBy(F.coalesce("last_accessed", "created_at").desc_nulls_last(), "entry_id").limit(keep)
+    """The `keep` most recently accessed entries (never accessed counts as created; without either, last).
+
+    Counts per day give the day at which the kept ones end; only its rows are ranked.
+    """
+    rows = entries.withColumn("__at", F.coalesce("last_accessed", "created_at")).withColumn("__day", F.to_date("__at"))
+    newer = W.orderBy(F.col("__d").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)  # one row a day
+    days = rows.groupBy(F.col("__day").alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    days = days.withColumn("__before", F.coalesce(F.sum("__n").over(newer), F.lit(0))).filter(F.col("__before") < keep)
+    kept = rows.join(days, F.col("__day").eqNullSafe(F.col("__d")))
+    whole = F.col("__before") + F.col("__n") <= keep
+    rank = F.row_number().over(W.partitionBy("__d").orderBy(F.col("__at").desc_nulls_last(), "entry_id"))
+    edge = kept.filter(~whole).withColumn("__rank", rank).filter(F.col("__rank") <= keep - F.col("__before"))
+    return kept.filter(whole).select(*entries.columns).unionByName(edge.select(*entries.columns))

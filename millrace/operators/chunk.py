@@ -106,3 +106,26 @@ def chunk(df: DataFrame, id_col: str, text_col: str, strategy: str = "fixed_size
     if strategy in ("paragraph", "semantic"):
         return paragraphs(df, id_col, text_col, size, metadata_col)
     raise ValueError(f"unknown strategy {strategy}")
+
+
+def register_table_function(spark, name: str = "paragraph_chunks") -> None:
+    """A table function for SQL: LATERAL paragraph_chunks(text, size) gives (chunk_index, content).
+
+    It runs in Python, a row at a time; whole tables are better off with `paragraphs`.
+    """
+
+    @F.udtf(returnType="chunk_index int, content string")
+    class Paragraphs:
+        def eval(self, text: str, size: int):
+            held, n, at = [], 0, 0
+            for part in (p.strip() for p in (text or "").split("\n\n")):
+                if part and held and n + len(part) > size:
+                    yield at, "\n\n".join(held)
+                    held, n, at = [], 0, at + 1
+                if part:
+                    held.append(part)
+                    n += len(part)
+            if held:
+                yield at, "\n\n".join(held)
+
+    spark.udtf.register(name, Paragraphs)

@@ -40,6 +40,18 @@ def merge(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, on, "full_outer").select(*[F.coalesce(F.col(f"c.{k}"), F.col(f"t.{k}")).alias(k) for k in key], *[pick(c) for c in names])
 
 
+def create_as(df: DataFrame, table: str, partitioned_by: list[str] | None = None, replace: bool = False) -> None:
+    """CREATE TABLE AS: a managed table of the rows; an existing one is an error, or replaced."""
+    writer = df.write.mode("overwrite" if replace else "errorifexists")
+    (writer.partitionBy(*partitioned_by) if partitioned_by else writer).saveAsTable(table)
+
+
+def clone(spark: SparkSession, source: str, target: str) -> None:
+    """A deep copy of a table, its partitioning included, that later changes of the source do not reach."""
+    columns = [c.name for c in spark.catalog.listColumns(source) if c.isPartition]
+    create_as(spark.table(source), target, columns or None)
+
+
 def clustered(df: DataFrame, columns: list[str], files: int) -> DataFrame:
     """Rows range-partitioned and sorted by columns, so that file statistics prune reads."""
     return df.repartitionByRange(files, *columns).sortWithinPartitions(*columns)

@@ -168,3 +168,101 @@ def test_profile_sizes(spark, sf, monkeypatch):
     assert exact.keys() == sketched.keys() and abs(sketched["o_custkey", "unique_count"] / exact["o_custkey", "unique_count"] - 1) < 0.1
     assert {(r.column_name, r.metric): r.value for r in profile.profile(orders, "o_custkey", approximate=False).collect()} == exact
     assert profile.profile(spark.range(3)).filter("metric = 'unique_count'").first().value == 3
+
+
+def test_stores(spark, tmp_path):
+    from millrace.sources import stores
+
+    store = stores.TableStore(spark, str(tmp_path / "chunks"))
+    assert store.size() == 0
+    rows = spark.createDataFrame([("a", "red van", {"k": "1"}), ("b", "blue van", {"k": "2"})], "id string, content string, metadata map<string,string>")
+    store.add(rows)
+    store.add(spark.createDataFrame([("b", "green van", None)], "id string, content string, metadata map<string,string>"))
+    questions = spark.createDataFrame([("q", "GREEN VAN")], "id string, question string")
+    assert store.size() == 2 and store.search(questions, 1).first().item_id == "b" and store.search(questions, wanted={"k": "1"}).first().item_id == "a"
+    store.delete(spark.createDataFrame([("b",), ("zz",)], "id string"))
+    assert store.size() == 1
+    store.clear()
+    assert store.size() == 0 and store.search(questions).count() == 0
+
+    from millrace.functions.text import cache_key
+
+    backend = stores.TableCache(spark, str(tmp_path / "cache"))
+    entry = spark.createDataFrame([("e1", "p", "m", "old", "2025-01-01"), ("e2", "p2", "m", "x", "2025-01-01"), ("e3", "p", "m", "new", "2025-02-01")], "entry_id string, prompt string, model string, response string, at string")
+    entry = entry.select("*", cache_key(F.col("prompt"), F.col("model")).alias("key"), F.col("at").cast("timestamp").alias("created_at")).drop("at")
+    backend.put(entry)
+    assert {r.response for r in backend.read().collect()} == {"new", "x"}
+    backend.invalidate(spark.createDataFrame([("p", "m"), ("p", "other")], "prompt string, model string"))
+    assert [r.entry_id for r in backend.read().collect()] == ["e2"]
+    backend.clear()
+    assert backend.read().count() == 0
+
+
+def test_evict_oldest_by_days(spark):
+    from millrace.operators import cache
+
+    rows = [(f"e{k:02d}", None if k % 7 == 0 else f"2025-01-{1 + k % 5:02d} 0{k % 9}:00:00", None if k == 14 else "2024-12-31 00:00:00") for k in range(30)]
+    df = spark.createDataFrame(rows, "entry_id string, a string, c string").select("entry_id", F.col("a").cast("timestamp").alias("last_accessed"), F.col("c").cast("timestamp").alias("created_at"))
+    order = [r.entry_id for r in df.orderBy(F.coalesce("last_accessed", "created_at").desc_nulls_last(), "entry_id").collect()]
+    for keep in (0, 1, 7, 12, 29, 30, 99):
+        assert {r.entry_id for r in cache.evict_oldest(df, keep).collect()} == set(order[:keep])
+    assert cache.evict_oldest(df.limit(0), 3).count() == 0
+
+
+def test_flow_of_declared_tables(spark, tmp_path):
+    from millrace.plans.flows import Flow
+
+    flow, E = Flow(), quality.Expectation
+
+    @flow.table(("clean",), fail=(E("some", "n", "in_range", parameters={"min": 1}),))
+    def counts(clean):
+        return clean.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+    @flow.table(("raw",), drop=(E("known", "kind", "not_null"),))
+    def clean(raw):
+        return raw.dropDuplicates(["id"])
+
+    @flow.table()
+    def raw(session):
+        return session.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "b")], "id int, kind string")
+
+    assert flow.order().index("raw") < flow.order().index("clean") < flow.order().index("counts")
+    want = {("a", 1), ("b", 1)}
+    assert {tuple(r) for r in flow.build(spark)["counts"].collect()} == want
+    assert {tuple(r) for r in spark.read.parquet(flow.write(spark, str(tmp_path))["counts"]).collect()} == want
+    broken = Flow()
+    broken.table(name="t", fail=(E("low", "id", "in_range", parameters={"max": 1}),))(lambda s: s.range(3))
+    with pytest.raises(Exception, match="low does not hold"):
+        broken.build(spark)["t"].collect()
+    broken.table(("nowhere",), "u")(lambda t: t)
+    with pytest.raises(ValueError):
+        broken.order()
+
+
+def test_tasks_sinks_and_table_function(spark):
+    from millrace.operators import chunk
+    from millrace.plans import tasks
+    from millrace.sources import sinks
+
+    df = spark.createDataFrame([(1, "x", 1.0), (2, None, 2.0)], "row_id long, v string, w double")
+    found = tasks.analysed(df)
+    assert found["score"].first().columns == 3 and found["profile"].filter("metric = 'total_count'").first().value == 2
+    plan = tasks.quality_plan(df, "t")
+    assert {e.kind for e in plan["expectations"]} == {"not_null", "unique", "in_range"} and "row_id" in plan["ddl"] and plan["entry"]["columns"][0]["name"] == "row_id"
+    assert set(tasks.compared(df, df)) == {"schema", "statistics", "rows"} and "rows" not in tasks.compared(df, df.select("v"))
+    for t in ("made_demo", "copy_demo"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    try:
+        sinks.create_as(df, "made_demo", ["v"])
+        sinks.clone(spark, "made_demo", "copy_demo")
+        assert spark.table("copy_demo").count() == 2 and [c.name for c in spark.catalog.listColumns("copy_demo") if c.isPartition] == ["v"]
+        with pytest.raises(Exception):
+            sinks.create_as(df, "made_demo")
+    finally:
+        for t in ("made_demo", "copy_demo"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+    chunk.register_table_function(spark)
+    docs = spark.createDataFrame([("d", "one\n\ntwo\n\n\n\nthree three"), ("e", None)], "id string, t string")
+    docs.createOrReplaceTempView("chunk_docs")
+    got = [(r.id, r.chunk_index, r.content) for r in spark.sql("SELECT id, c.* FROM chunk_docs, LATERAL paragraph_chunks(t, 8) c ORDER BY 1, 2").collect()]
+    assert got == [(r.document_id, r.chunk_index, r.content) for r in chunk.paragraphs(docs, "id", "t", 8).orderBy("id").collect()]
