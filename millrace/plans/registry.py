@@ -577,4 +577,4 @@ def data_dictionary(spark, sf):
     return profile.data_dictionary(load(spark, sf, "model_pricing")).drop("comment")
 
 
-from millrace.plans import composed  # noqa: E402, F401  (registers its queries here)
+from millrace.plans import checked, composed  # noqa: E402, F401  (they register their queries here)
