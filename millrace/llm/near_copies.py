@@ -271,8 +271,8 @@ def all_pairs(members: DataFrame, group: list[str], item: str, rows: str) -> Dat
 
 def candidates(sketches: DataFrame, t: float) -> DataFrame:
     """(a, b), a < b: documents of (tbl, doc, sketch) that meet in at least LEAST_MET lists of their table."""
-    sizes = sketches.groupBy("tbl").agg(F.count(F.lit(1)).alias("texts"))
-    corpora = sketches.join(sizes, "tbl").select(F.xxhash64("tbl").alias("salt"), "texts", "doc", "sketch")
+    sizes = sketches.groupBy("tbl").agg(F.count(F.lit(1)).alias("texts"))  # a row per table; by its few keys the sketches must not be shuffled
+    corpora = sketches.join(F.broadcast(sizes), "tbl").select(F.xxhash64("tbl").alias("salt"), "texts", "doc", "sketch")
     met = None
     for depth in range(DEPTH + 1):
         lists = listed(corpora, t)
