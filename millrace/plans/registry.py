@@ -377,7 +377,7 @@ def usage_by_provider(spark, sf):
 
 @query(f"WITH {_PRICED} SELECT call_id, user_id, row_number() OVER w AS step, CAST(sum(input_tokens + output_tokens) OVER w AS BIGINT) AS tokens_so_far, round(sum(cost) OVER w, 8) AS cost_so_far FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING)")
 def usage_cumulative(spark, sf):
-    out = usage.cumulative(_priced(spark, sf), ["user_id"], ["ts", "call_id"], F.to_date("ts"))
+    out = usage.cumulative(_priced(spark, sf), ["user_id"], ["ts", "call_id"], F.date_trunc("week", "ts"))
     return rounded(out.select("call_id", "user_id", "step", "tokens_so_far", "cost_so_far"), 8, "cost_so_far")
 
 

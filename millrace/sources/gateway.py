@@ -52,7 +52,7 @@ def register(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str], block: str = "day") -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], at: str, columns: list[str], block: str = "week") -> DataFrame:
     """Each left row with the latest right row of the same key at or before its time; a null key has none.
 
     A union of both sides and an ordered window, instead of a range join. The window covers a
