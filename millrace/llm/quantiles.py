@@ -29,6 +29,8 @@ SIZE = 2048
 #: Sketches of one group that a single merge task takes in.
 FAN_IN = 64
 PERCENTS = (50, 90, 95, 99)
+#: Bytes of percentiles up to which they are broadcast to the values that they are checked with.
+BROADCAST_BYTES = 8 << 20
 
 
 class Sketch:
@@ -236,15 +238,16 @@ def p3_rank_errors(spark: SparkSession, sf_dir: str, bound: float = 0.01) -> Dat
     periods = F.array(*[F.struct(F.lit(name).alias("period"), start.alias("start")) for name, start in starts.items()])
     metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("latency_ms", "cost_usd")])
     values = calls.select("model", F.explode(periods).alias("p"), metrics.alias("m")).select("model", "p.*", F.explode("m").alias("m")).select("model", "period", "start", "m.*")
-    values = values.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("model", "period", "start", "metric", "value").agg(F.count(F.lit(1)).alias("rows"))
+    values = values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     keys = ["model", "period", "start", "metric"]
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"v.{k}").eqNullSafe(F.col(f"f.{k}"))
-    both = values.alias("v").join(found.alias("f"), same)
-    parts = [F.sum(F.when(F.col("v.value") < F.col(f"f.p{p}"), F.col("v.rows")).otherwise(0)).alias(f"below{p}") for p in PERCENTS]
-    parts += [F.sum(F.when(F.col("v.value") <= F.col(f"f.p{p}"), F.col("v.rows")).otherwise(0)).alias(f"upto{p}") for p in PERCENTS]
-    ranks = both.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys]).agg(F.sum("v.rows").alias("n"), *parts)
+    near = F.broadcast(found) if 128 * found.count() <= BROADCAST_BYTES else found
+    both = values.alias("v").join(near.alias("f"), same)
+    parts = [F.count_if(F.col("v.value") < F.col(f"f.p{p}")).alias(f"below{p}") for p in PERCENTS]
+    parts += [F.count_if(F.col("v.value") <= F.col(f"f.p{p}")).alias(f"upto{p}") for p in PERCENTS]
+    ranks = both.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"), *parts)
     within = F.lit(True)
     for p in PERCENTS:
         wanted = F.ceil(F.col("n") * p / 100)
